@@ -83,6 +83,10 @@ class Automaton:
         self.maps = np.array(order, np.uint8)
         self.after = np.array([[found[tuple(g[x] for x in m)] for g in single] for m in order], np.uint16)
         self.then = np.array([[found[tuple(b[x] for x in a)] for b in order] for a in order], np.uint16)
+        # the same tables for flat look-ups: rows are element << 4 or state << 4, columns are reads
+        self.after16 = (self.after << 4).reshape(-1)
+        self.next16, self.starts16 = np.zeros(256, np.uint8), np.zeros(256, bool)
+        self.next16[: n * 16], self.starts16[: n * 16] = (self.next << 4).reshape(-1), self.starts.reshape(-1)
 
     def piece_starts(self, reads: np.ndarray, width: int = 256) -> np.ndarray:
         """Positions at which pieces start. Associative scan over chunks of ``width`` reads."""
@@ -95,17 +99,19 @@ class Automaton:
         grid = np.ascontiguousarray(grid.reshape(rows, width).T)
         whole = np.zeros(rows, np.uint16)
         for line in grid:
-            whole = self.after[whole, line]
+            whole = self.after16.take(whole | line)
+        whole >>= 4
         d = 1
         while d < rows:  # log-depth scan: whole[i] becomes the composition of chunks 0 to i
             whole = np.concatenate([whole[:d], self.then[whole[:-d], whole[d:]]])
             d *= 2
         state = np.zeros(rows, np.uint8)
-        state[1:] = self.maps[whole[:-1], 0]
+        state[1:] = self.maps[whole[:-1], 0] << 4
         marks = np.empty(grid.shape, bool)
         for k, line in enumerate(grid):
-            marks[k] = self.starts[state, line]
-            state = self.next[state, line]
+            state |= line
+            self.starts16.take(state, out=marks[k])
+            state = self.next16.take(state)
         return np.flatnonzero(marks.T.reshape(-1)[:n])
 
 
@@ -251,44 +257,144 @@ class Ranks:
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class LibraryMerges:
-    """Ids of pieces from a ``tokenizers`` file. A piece alone splits into itself, so the ids of a
-    text are those of its pieces in order."""
+    """Ids of pieces from a ``tokenizers`` file, by the library's own BPE model. A piece alone
+    splits into itself, so the ids of a text are those of its pieces in order."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_file(path).model
+        self.letters = byte_letters()
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        split, letters = self.model.tokenize, self.letters
+        sizes_ids = [[x.id for x in split(p.decode("latin-1").translate(letters))] for p in pieces]
+        raw = np.fromiter((i for x in sizes_ids for i in x), "<u4").tobytes()
+        ends = np.cumsum([4 * len(x) for x in sizes_ids]).tolist() if pieces else []
+        return [raw[a:z] for a, z in zip([0, *ends], ends)]
 
 
 class Encoder:
-    """Cached encoding. The cache is emptied beyond ``entries`` pieces, which bounds its memory and
-    changes no result."""
+    """Cached encoding, piece by piece.
 
-    def __init__(self, merger: Ranks | LibraryMerges, entries: int = 400_000) -> None:
-        self.merger, self.entries, self.cache = merger, entries, {}
+    A piece of up to ``SHORT_PIECE`` code points is known by a 64-bit polynomial hash, computed for
+    all pieces at once from running sums and looked up in an open-addressed table of arrays; longer
+    ones are known by themselves in a dictionary. The cache is emptied beyond ``entries`` pieces,
+    which bounds its memory and changes no result.
+    """
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of little-endian unsigned 32-bit integers."""
+    SHORT_PIECE, BITS = 32, 22
+    BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+
+    def __init__(self, merger: Ranks | LibraryMerges, entries: int = 1_200_000) -> None:
+        self.merger, self.entries = merger, min(entries, 1 << self.BITS - 1)
+        self.powers = self.inverse = np.ones(1, np.uint64)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.found = np.full(1 << self.BITS, -1, np.int32)
+        self.long: dict[str, int] = {}
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def _hashes(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(codes)
+        if n > len(self.powers):
+            for name, base in (("powers", self.BASE), ("inverse", pow(self.BASE, -1, 1 << 64))):
+                x = np.full(n, base, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(0x1F3D5B79)) * self.powers[:n], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.inverse[starts]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= (ends - starts).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+        return h * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)  # 0 marks an empty place
+
+    def _look_up(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key's piece, -1 if there is none."""
+        at = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = self.found[at]
+        there = self.keys[at]
+        out[there != keys] = -1
+        rest = np.flatnonzero((there != keys) & (there != 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & (1 << self.BITS) - 1
+            there = self.keys[at[rest]]
+            hit = there == keys[rest]
+            out[rest[hit]] = self.found[at[rest[hit]]]
+            rest = rest[~hit & (there != 0)]
+        return out
+
+    def _insert(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        at = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] == 0]
+            self.keys[at[free]] = keys[free]  # of several for one place the last stays
+            won = free[self.keys[at[free]] == keys[free]]
+            self.found[at[won]] = numbers[won]
+            left = np.ones(len(keys), bool)
+            left[won] = False
+            todo = todo[left[todo]]
+            at[todo] = (at[todo] + 1) & (1 << self.BITS) - 1
+
+    def _add(self, pieces: list[str]) -> np.ndarray:
+        """Merge new pieces and keep their ids; their numbers."""
+        made = self.merger.merge([p.encode("utf-8", "surrogatepass") for p in pieces])
+        sizes = np.fromiter((len(x) >> 2 for x in made), np.int64, len(made))
+        first = len(self.size)
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
+        return np.arange(first, first + len(pieces), dtype=np.int32)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row and the offset of each text in them (one more)."""
         joined, starts, offsets = pieces_of(texts)
         if not len(starts):
-            return [b""] * len(texts)
-        at = starts.tolist()
-        pieces = [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)], strict=True)]
-        cache = self.cache
-        if missing := set(pieces).difference(cache):
-            if len(cache) > self.entries:
-                cache.clear()
-                missing = set(pieces)
-            new = list(missing)
-            cache.update(zip(new, self.merger.merge([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
-        ids = list(map(cache.__getitem__, pieces))
-        bounds = np.searchsorted(starts, offsets).tolist()
-        return [b"".join(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        if len(self.size) > self.entries:
+            self._empty()
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.append(starts[1:], len(joined))
+        keys = self._hashes(codes, starts, ends)
+        number = self._look_up(keys)
+        longer = ends - starts > self.SHORT_PIECE
+        if longer.any():
+            which = np.flatnonzero(longer)
+            texts_ = [joined[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+            if new := [p for p in dict.fromkeys(texts_) if p not in self.long]:
+                self.long.update(zip(new, self._add(new).tolist(), strict=True))
+            number[which] = [self.long[p] for p in texts_]
+        missing = np.flatnonzero((number < 0) & ~longer)
+        if len(missing):
+            new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            at = missing[first]
+            made = self._add([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self._insert(new, made)
+            number[missing] = made[back]
+        sizes = self.size[number]
+        upto = np.cumsum(sizes)
+        flat = self.ids[np.repeat(self.begin[number] - upto + sizes, sizes) + np.arange(upto[-1])]
+        return flat, np.concatenate([[0], upto])[np.searchsorted(starts, offsets)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes of little-endian unsigned 32-bit integers."""
+        flat, at = self.encode_flat(texts)
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip((at[:-1] * 4).tolist(), (at[1:] * 4).tolist(), strict=True)]
 
 
 class Decoder:
