@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, hilbert, token_orc
+from . import bpe, fm_index, hilbert, kneser_ney, token_orc
 from .common import read_table, scratch
 
 
@@ -21,14 +22,27 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.digests(read_table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"])
 
 
+def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = kneser_ney.quality_rules(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    names = [*kneser_ney.COUNTS, "base_failed", "kept", "log_ppl"]
+    return rules.select("doc_id", *[F.col(rules.columns[-1])[c].alias(c) for c in names])
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return fm_index.digests(found, hits=found.columns[-1])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_orc": op3_token_orc,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op7_perplexity_rules": op7_perplexity_rules,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_fm_index": op9_fm_index,
 }
 
 ORACLE_SQL: dict[str, str] = {}
