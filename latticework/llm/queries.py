@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fm_index, hilbert, kneser_ney, token_orc
+from . import bpe, fm_index, hilbert, kneser_ney, minhash_join, token_orc
 from .common import read_table, scratch
 
 
@@ -37,12 +37,17 @@ def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.digests(found, hits=found.columns[-1])
 
 
+def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.join(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_of")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_orc": op3_token_orc,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op7_perplexity_rules": op7_perplexity_rules,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fm_index": op9_fm_index,
+    "op10_minhash_join": op10_minhash_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
