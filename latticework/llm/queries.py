@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fm_index, hilbert, kneser_ney, minhash_join, token_orc
+from . import bpe, crf, fm_index, hilbert, kneser_ney, minhash_join, token_orc
 from .common import read_table, scratch
 
 
@@ -22,6 +22,14 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.digests(read_table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"])
 
 
+def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crf.held_out())
+    model = crf.fit(docs.filter(~F.col("held_out")))
+    out = crf.identify(docs, model, carry=["doc_id", "held_out"])
+    found = F.col(out.columns[-1])
+    return out.select("doc_id", "held_out", found["lang"].alias("lang_pred"), found["score"].alias("score"))
+
+
 def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = kneser_ney.quality_rules(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
     names = [*kneser_ney.COUNTS, "base_failed", "kept", "log_ppl"]
@@ -44,6 +52,7 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_orc": op3_token_orc,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_crf_language": op6_crf_language,
     "op7_perplexity_rules": op7_perplexity_rules,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fm_index": op9_fm_index,
