@@ -8,10 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, crf, fm_index, hilbert, kneser_ney, minhash_join, token_orc
+from . import bpe, cotrain, crf, fm_index, hilbert, kneser_ney, minhash_join, templates, token_orc
 from .common import read_table, scratch
 
 
+def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.extract(read_table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = cotrain.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return scores.withColumn("kept", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5))
@@ -55,6 +60,7 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_templates": op1_site_templates,
     "op2_cotrained_quality": op2_cotrained_quality,
     "op3_token_orc": op3_token_orc,
     "op5_hilbert_shards": op5_hilbert_shards,
