@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, crf, fm_index, hilbert, kneser_ney, minhash_join, templates, token_orc
+from . import bpe, cotrain, crf, fm_index, hilbert, kneser_ney, minhash_join, rollup, templates, token_orc
 from .common import read_table, scratch
 
 
@@ -28,6 +28,11 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.digests(token_orc.read(spark, path))
 
 
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = rollup.RollupStore(spark, scratch(spark, "rollup"))
+    return rollup.lifecycle(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), store)
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.digests(read_table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"])
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op2_cotrained_quality": op2_cotrained_quality,
     "op3_token_orc": op3_token_orc,
+    "op4_token_rollup": op4_token_rollup,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_crf_language": op6_crf_language,
     "op7_perplexity_rules": op7_perplexity_rules,
@@ -71,4 +77,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_join": op10_minhash_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SIGNS = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_token_rollup": rf"""
+        WITH live AS (
+            SELECT source, lang, coalesce(text, '') AS text FROM documents
+            WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+        ), counted AS (
+            SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM live
+            UNION ALL
+            SELECT source, lang, 'signs-1', len(regexp_extract_all(regexp_replace(text, '[#*$%&|<>]', '', 'g'), '{_SIGNS}')) FROM live
+        )
+        SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+        FROM counted GROUP BY source, lang, tokenizer""",
+}
