@@ -318,7 +318,8 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, *, key:
     size = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("all_n")).withColumnRenamed("comp", "of")
     dealt = members.join(size, F.col("comp") == F.col("of")).select("comp", "cid", "id", "digest", "copies", F.greatest(F.ceil(F.col("m") / DOCS_BLOCK), F.ceil(F.col("all_n") / SHINGLES_BLOCK)).alias("blocks"))
     bodies = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.unhex(F.md5(F.col(text))).alias("_digest"))
-    joined = bodies.join(dealt, F.col("_key").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))).select("comp", "cid", "copies", "blocks", F.col("_text").alias("text"))
+    # a sorted join at every size: the members grow with the corpus, so they are never broadcast
+    joined = bodies.join(dealt.hint("merge"), F.col("_key").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))).select("comp", "cid", "copies", "blocks", F.col("_text").alias("text"))
     spread = block_pairs(joined, "cid", F.col("blocks")).select("comp", "pair", "own", "cid", "copies", "text")
 
     def verify(tables):
