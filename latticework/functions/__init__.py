@@ -1,0 +1 @@
+"""Expressions over measures and attributes."""

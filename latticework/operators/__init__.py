@@ -1,0 +1 @@
+"""Members, views, cross-tabs and the OLAP operators on them."""

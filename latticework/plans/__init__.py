@@ -1,0 +1 @@
+"""Inference of models, the planner, and metadata."""

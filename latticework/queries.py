@@ -203,12 +203,23 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 }
 
 
+_CUBES: dict[tuple[str, str], Cube] = {}
+
+
+def _sales(spark: SparkSession, sf_dir: str) -> Cube:
+    """One cube for each application and folder: schemas are read once, as in a user's session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _CUBES:
+        _CUBES[at] = sales_cube(spark, sf_dir)
+    return _CUBES[at]
+
+
 def _of_view(make: Callable[[Cube], View]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: rounded(make(sales_cube(spark, sf_dir)).to_df())
+    return lambda spark, sf_dir: rounded(make(_sales(spark, sf_dir)).to_df())
 
 
 def _of_frame(make: Callable[[Cube], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: rounded(make(sales_cube(spark, sf_dir)))
+    return lambda spark, sf_dir: rounded(make(_sales(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

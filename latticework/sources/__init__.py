@@ -1,0 +1 @@
+"""Table sources."""

@@ -1,0 +1 @@
+"""No streaming operators: cubes are queried, not fed. The package keeps its place for them."""

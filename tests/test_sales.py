@@ -191,12 +191,13 @@ def test_olap_operators(c):
     months = c.view().columns(c.date.date_month.members()).rows(c.store.store_address.members()).measures("unit_sales")
     up = months.rollup(date="date_year")
     assert cells(up) == cells(c.view().columns(year.members()).rows(c.store.store_address.members()).measures("unit_sales"))
-    assert cells(up.drilldown(date="date_month")) == cells(months)
+    bag = lambda v: sorted(map(tuple, v.to_df().collect()))
+    assert bag(up.drilldown(date="date_month")) == bag(months)
     assert cells(months.rollup(date="ALL")) == {("Jyllandsgade 1",): 27, ("Jyllandsgade 2",): 7138}
     assert cells(months.slice(year[2022])) == {("Jyllandsgade 1",): 27, ("Jyllandsgade 2",): 3640}
     diced = months.rollup(date="date_year").dice({"column": [year[2022]], "row": [c.store.store_address.address["Jyllandsgade 1"]]})
     assert cells(diced) == {(2022, "Jyllandsgade 1"): 27}
-    assert len(cells(months.dice({0: [c.date.date_year.year[2022]]}))) == 13
+    assert len(bag(months.dice({0: [c.date.date_year.year[2022]]}))) == 13
     for bad in (lambda: up.rollup(date="date_day"), lambda: months.drilldown(date="date_year"), lambda: months.rollup(date="week"), lambda: months.rollup(nothing="x"), lambda: months.dice({"page": [year[2022]]}), lambda: months.dice({"row": [year[2022]]})):
         with pytest.raises(ValueError):
             bad()
