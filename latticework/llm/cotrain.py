@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, field, map_batches, materialise, own_name, texts_of
+from .common import column, field, map_batches, materialise, own_name, smallest, texts_of
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -218,7 +218,7 @@ def cotrain(rows: DataFrame, labelled: DataFrame, target: str, *, rounds: int =
     """``rows``: features of all documents, written down, with a long ``_h`` (hash of the id).
     ``labelled``: features with ``target`` 0 or 1."""
     known = labelled.filter(F.col(target).isin(0, 1))
-    taken = known.select("_h", *VIEWS, F.col(target).cast("int").alias("y")).orderBy("_h", *VIEWS, "y").limit(labelled_limit).collect()
+    taken = smallest(known.select("_h", *VIEWS, F.col(target).cast("int").alias("y")), "_h", labelled_limit).collect()
     y = np.array([r.y for r in taken], np.int64)
     if len(y) < 4 or y.min() == y.max():
         return Classifier([], [], np.zeros(3), float(y.mean()) if len(y) else 0.5)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, map_batches, own_name, texts_of
+from .common import field, map_batches, own_name, smallest, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -237,7 +237,7 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
     names = [r.lang for r in rows.select("lang").distinct().collect()]
     taken: list[tuple[str, str]] = []
     for name in sorted(names):
-        taken += [(r.text, r.lang) for r in rows.filter(F.col("lang") == name).orderBy("h").limit(per_language).collect()]
+        taken += [(r.text, r.lang) for r in smallest(rows.filter(F.col("lang") == name), "h", per_language).collect()]
     return train(taken)
 
 
