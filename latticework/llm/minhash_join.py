@@ -40,6 +40,7 @@ BANDS, ROWS, STEP, TOLERANCE = 40, 6, 24, 1e-7
 HASHES = BANDS * ROWS
 BUCKET_BLOCK = 8192  # classes of a bucket in one block
 DOCS_BLOCK, SHINGLES_BLOCK = 4096, 2_000_000  # texts and shingles of a component in one block
+TEXT_BUCKETS = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -317,7 +318,12 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, *, key:
     members = materialise(members, "members")
     size = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("all_n")).withColumnRenamed("comp", "of")
     dealt = members.join(size, F.col("comp") == F.col("of")).select("comp", "cid", "id", "digest", "copies", F.greatest(F.ceil(F.col("m") / DOCS_BLOCK), F.ceil(F.col("all_n") / SHINGLES_BLOCK)).alias("blocks"))
+    # texts whose digest falls in no member's bucket are left out before the shuffle; the table of
+    # buckets has ``TEXT_BUCKETS`` rows at most, however many members there are
+    bucket = lambda digest: F.pmod(F.xxhash64(digest), F.lit(TEXT_BUCKETS)).cast("int")
+    used = members.select(bucket(F.col("digest")).alias("_b")).distinct()
     bodies = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.unhex(F.md5(F.col(text))).alias("_digest"))
+    bodies = bodies.join(F.broadcast(used), bucket(F.col("_digest")) == F.col("_b"), "left_semi")
     # a sorted join at every size: the members grow with the corpus, so they are never broadcast
     joined = bodies.join(dealt.hint("merge"), F.col("_key").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))).select("comp", "cid", "copies", "blocks", F.col("_text").alias("text"))
     spread = block_pairs(joined, "cid", F.col("blocks")).select("comp", "pair", "own", "cid", "copies", "text")
