@@ -24,12 +24,12 @@ import math
 import re
 from dataclasses import dataclass
 from dataclasses import field as attribute
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,12 +214,11 @@ def _fit(parts: list[Counts], given: list[list[np.ndarray]], y: np.ndarray, fold
     return Classifier([(parts[v] + lent[v]).weights() for v in (0, 1)], scales, logistic(both, y))
 
 
-def cotrain(rows: DataFrame, labelled: DataFrame, target: str, *, rounds: int = 2, confident: float = 0.95, labelled_limit: int = 20_000) -> Classifier:
+def cotrain(rows: DataFrame, taken: list, target: str, *, rounds: int = 2, confident: float = 0.95) -> Classifier:
     """``rows``: features of all documents, written down, with a long ``_h`` (hash of the id).
-    ``labelled``: features with ``target`` 0 or 1."""
-    known = labelled.filter(F.col(target).isin(0, 1))
-    taken = smallest(known.select("_h", *VIEWS, F.col(target).cast("int").alias("y")), "_h", labelled_limit).collect()
-    y = np.array([r.y for r in taken], np.int64)
+    ``taken``: features of labelled documents, with ``_h`` and ``target``; only 0 and 1 count."""
+    taken = [r for r in taken if r[target] in (0, 1)]
+    y = np.array([r[target] for r in taken], np.int64)
     if len(y) < 4 or y.min() == y.max():
         return Classifier([], [], np.zeros(3), float(y.mean()) if len(y) else 0.5)
     given = [[np.frombuffer(bytes(r[v]), np.uint16) for r in taken] for v in VIEWS]
@@ -269,7 +268,7 @@ def pseudo_labelled(rows: DataFrame, model: Classifier, bar: float, labelled_has
     return [Counts(cube[v, :, :BUCKETS], cube[v, :, BUCKETS]) for v in (0, 1)]
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, targets: tuple[str, ...] = ("quality", "toxic"), metadata: list[str] | None = None, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, **how) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, targets: tuple[str, ...] = ("quality", "toxic"), metadata: list[str] | None = None, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, labelled_limit: int = 20_000, **how) -> DataFrame:
     """``carry`` (``key`` alone if None) and a double ``<target>_score`` for each target: the
     probability of label 1."""
     carry = [key] if carry is None else carry
@@ -278,8 +277,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, targets: tuple[str, ...] = (
     slim = docs.select(*[F.col(c).alias(n) for c, n in named.items()], F.xxhash64(F.col(key)).alias("_h"), F.col(key).alias("_key"), F.col(text).alias("_t"), *[F.col(m).alias(f"_d{i}") for i, m in enumerate(metadata)])
     rows = features(slim, carry=[*named.values(), "_h", "_key"], metadata=[f"_d{i}" for i in range(len(metadata))], text="_t")
     marks = labels.select(F.col(key).alias("_of"), *[F.col(t).alias(f"_y{i}") for i, t in enumerate(targets)])
-    labelled = rows.join(marks, F.col("_key") == F.col("_of")).select("_h", *VIEWS, *[f"_y{i}" for i in range(len(targets))])
-    models = [cotrain(rows, labelled, f"_y{i}", **how) for i in range(len(targets))]
+    valid = reduce(Column.__or__, [F.col(f"_y{i}").isin(0, 1) for i in range(len(targets))])
+    # at most ``labelled_limit`` rows, which bounds the broadcast and what comes to the driver
+    sample = smallest(marks.filter(valid & F.col("_of").isNotNull()).withColumn("_l", F.xxhash64("_of")), "_l", labelled_limit)
+    labelled = rows.join(F.broadcast(sample), F.col("_key") == F.col("_of")).select("_h", *VIEWS, *[f"_y{i}" for i in range(len(targets))])
+    taken = sorted(labelled.collect(), key=lambda r: (r["_h"], bytes(r[VIEWS[0]])))
+    models = [cotrain(rows, taken, f"_y{i}", **how) for i in range(len(targets))]
     sent = docs.sparkSession.sparkContext.broadcast(models)
     schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType, True) for c in carry], *[field(f"{t}_score", "double") for t in targets]])
 
