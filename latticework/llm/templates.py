@@ -238,10 +238,13 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", carry: li
     # only pages without an article wait for the templates of their host
     waiting = rows.filter(r["text"].isNull()).select(r["uid"].alias("uid"), r["host"].alias("host"), F.posexplode(r["subtrees"]).alias("at", "subtree"))
     gone = waiting.join(found.select(F.col("host").alias("h"), F.col("subtree").alias("s")), (F.col("host") == F.col("h")) & (F.col("subtree") == F.col("s"))).groupBy(F.col("uid").alias("of")).agg(F.collect_set("at").alias("_gone"))
-    out = rows.join(gone, r["uid"] == F.col("of"), "left")
+    joined = rows.filter(r["text"].isNull()).join(gone, r["uid"] == F.col("of"), "left")
     kept = F.filter(r["blocks"], lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("_gone")), F.lit(False)))
-    text = F.coalesce(r["text"], F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"))
+    cleaned = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
     name = "text"
     while name in carry:
         name = f"_{name}"
-    return out.select(*[F.col(c) for c in carry], text.alias(name))
+    cols = [F.col(c) for c in carry]
+    # the text of pages with an article is final and isn't dealt out again
+    final = rows.filter(r["text"].isNotNull()).select(*cols, r["text"].alias(name))
+    return final.unionByName(joined.select(*cols, cleaned.alias(name)))
