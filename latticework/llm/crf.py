@@ -22,14 +22,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, map_batches, own_name, smallest, texts_of
+from .common import field, map_batches, own_name, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -234,10 +235,21 @@ def train(rows: list[tuple[str, str]], *, epochs: int = 2, batch: int = 256, rat
 def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 200) -> Model | None:
     """Train on at most ``per_language`` rows of each language, whole texts, smallest hash first."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(lang)).alias("h"))
-    names = [r.lang for r in rows.select("lang").distinct().collect()]
+    # hashes are even, so a threshold from the counts lets through about twice what is wanted
+    total = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    share = {lang: min(1.0, 2 * (per_language + 50) / n) for lang, n in total.items()}
     taken: list[tuple[str, str]] = []
-    for name in sorted(names):
-        taken += [(r.text, r.lang) for r in smallest(rows.filter(F.col("lang") == name), "h", per_language).collect()]
+    while share:
+        limits = [(F.col("lang") == lang) & (F.col("h") <= F.lit(min(int(x * (1 << 64)) - (1 << 63), (1 << 63) - 1))) for lang, x in share.items()]
+        found: dict[str, list] = {lang: [] for lang in share}
+        for r in rows.filter(reduce(Column.__or__, limits)).toLocalIterator():
+            found[r.lang].append((r.h, r.text))
+        for lang, got in found.items():
+            if len(got) >= min(per_language, total[lang]):
+                taken += [(text, lang) for _, text in sorted(got)[:per_language]]
+                del share[lang]
+            else:
+                share[lang] = min(1.0, 2 * share[lang])
     return train(taken)
 
 
