@@ -20,7 +20,6 @@ import base64
 import hashlib
 import heapq
 import unicodedata
-import zlib
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -475,7 +474,3 @@ def round_trip(docs: DataFrame, *, vocabulary: str | None = None, key: str = "do
     kind = docs.schema[key].dataType
     schema = T.StructType([field(key, kind), field("n_tokens", "bigint"), field("ids_sha256", "string"), field("decoded_sha256", "string")])
     return map_ids(docs, path, schema, rows, [key, text], text)
-
-
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)

@@ -4,7 +4,6 @@ of the package to the executors, and Arrow plumbing for vectorised per-batch cod
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,11 +49,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    fs, p = filesystem(spark, path)
-    fs.delete(p, True)
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, and a lost
     executor costs a read instead of a recomputation."""
@@ -160,6 +154,3 @@ def tokenizer_file(name: str, folder: str | None = None) -> str:
         return public_tokenizers.path(name)
     except ModuleNotFoundError:
         return os.path.join("/opt/tokenizers", name)
-
-
-__all__ = ["F", "T", "column", "cut", "drop_scratch", "field", "filesystem", "map_batches", "materialise", "own_name", "read_table", "scratch", "shared_dir", "ship", "smallest", "sys", "texts_of", "tokenizer_file"]
