@@ -9,8 +9,8 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import Numeric, Operand, Resolve
-from ..model import ALL, Level, ModelError
+from ..functions.expr import Numeric, Resolve
+from ..model import Level, ModelError
 
 if TYPE_CHECKING:
     from ..session import Cube
@@ -290,6 +290,3 @@ class DimensionRef:
             return self[level]
         except ModelError as e:
             raise AttributeError(str(e)) from None
-
-
-__all__ = ["ALL", "AttributeRef", "DimensionRef", "LevelRef", "Member", "MemberSet", "NoSuchMember", "Operand", "Step"]

@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING, Any
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.expr import Aggregated, Arithmetic, MeasureRef, Numeric, Predicate
+from ..functions.expr import Aggregated, MeasureRef, Numeric, Predicate
 from ..model import ALL, ModelError
 from .members import AttributeRef, DimensionRef, Member, MemberSet
 
@@ -234,6 +234,3 @@ class InSet(Predicate):
 
         condition = self.members.condition(resolve)
         return F.lit(True) if condition is None else condition
-
-
-__all__ = ["AXES", "Arithmetic", "InSet", "View"]

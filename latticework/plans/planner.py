@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import AGGREGATES, MeasureRef, Numeric, Predicate
+from ..functions.expr import AGGREGATES, MeasureRef, Numeric
 from ..model import Dimension, Level, ModelError
 
 if TYPE_CHECKING:
@@ -245,7 +244,3 @@ def children_count(cube: Cube, dimension: str, level: str) -> DataFrame:
         rows, _ = role_frame(cube, d, by, full=False, start=d.index(child))
     pick = lambda lv, c, to: F.col(column_name(dimension, lv, c)).alias(to)
     return rows.select(pick(level, key, "key"), pick(level, label, "member"), pick(child, below, "child")).groupBy("key", "member").agg(F.count_distinct("child").alias("n_children"))
-
-
-def predicate_and(parts: list[Predicate]) -> Predicate:
-    return reduce(Predicate.__and__, parts)

@@ -37,7 +37,7 @@ def tables(spark, extra=()):
         "product_name": make([(1, "Basic", 1), (2, "Kid's", 2)], "name_id long, name string, category_id long"),
         "product_category": make([(1, "Blouse"), (2, "Shirt ")], "category_id long, category string"),
         "store_address": make([(1, "Jyllandsgade 1", 1), (2, "Jyllandsgade 2", 1)], "address_id long, address string, city_id long"),
-        "store_city": make([(1, "Aalborg", 1)], "city_id long, city string, county_id long"),
+        "store_city": make([(1, "Town", 1)], "city_id long, city string, county_id long"),
         "store_county": make([(1, "North")], "county_id long, county string"),
         "supplier_name": make([(1, "POMPdeLUX", 1), (2, "Other", 2)], "name_id long, name string, nation_id long"),
         "supplier_nation": make([(1, "Denmark", 1), (2, "Sweden", 1)], "nation_id long, nation string, continent_id long"),
