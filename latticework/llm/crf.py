@@ -270,7 +270,7 @@ def identify(docs: DataFrame, model: Model | None, *, carry: list[str] | None =
             got = m.predict(texts) if m else [(UNKNOWN, 0.0)] * len(texts)
             yield [*[b.column(i) for i in range(len(carry))], pa.array([{"lang": a, "score": s} for a, s in got], pa.struct([("lang", pa.string()), ("score", pa.float64())]))]
 
-    return map_batches(docs.select(*carry, F.col(text).alias(own)), run, schema, text=own)
+    return map_batches(docs.select(*carry, F.col(text).alias(own)), run, schema, limit=2 << 20, text=own)
 
 
 def word_labels(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -110,7 +110,7 @@ def count_grams(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> D
             yield [pa.array(np.full(len(there), name, object), pa.string()), pa.array(there.astype(np.int32)), pa.array(n[there])]
 
     schema = T.StructType([field("lang", "string"), field("gram", "int"), field("n", "bigint")])
-    parts = map_batches(docs.select(F.col(text), F.col(lang).cast("string").alias(lang)), run, schema, text=text)
+    parts = map_batches(docs.select(F.col(text), F.col(lang).cast("string").alias(lang)), run, schema, limit=1 << 20, text=text)
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -309,7 +309,7 @@ def measure(docs: DataFrame, models: dict[str, bytes], *, text: str = "text", la
             yield [*[b.column(i) for i in range(len(carry))], pa.StructArray.from_arrays(cols, [f.name for f in inner])]
 
     picked = docs.select(*carry, F.col(text).alias(own[0]), F.col(lang).cast("string").alias(own[1]))
-    return map_batches(picked, run, schema, text=own[0])
+    return map_batches(picked, run, schema, limit=1 << 20, text=own[0])
 
 
 def judge(measured: DataFrame, *, rules: str = "rules", above: float = 2.5, below: float = 6.0) -> DataFrame:
