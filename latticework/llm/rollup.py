@@ -168,13 +168,15 @@ def lifecycle(docs: DataFrame, labels: DataFrame, store: RollupStore) -> DataFra
     text = F.col("text")
     stripped = F.regexp_replace(text, r"[#*$%&|<>]", "")
     toxic = labels.filter("toxic = 1").select("doc_id").distinct()
-    down = docs.join(toxic, "doc_id", "left_semi")
+    # counted before the join, so that numbers are dealt out and not texts; an inner join with
+    # distinct ids, as the optimizer would push a semi join below the counting
+    down = docs.select("doc_id", "source", "lang", words(text).alias("_w"), signs(stripped).alias("_s")).join(toxic, "doc_id")
     marked = docs.filter(text.rlike(r"[#*$%&|<>]"))
     batches = {
         "0001-words": inserts(docs, "words-1", words(text)),
         "0002-signs": inserts(docs, "signs-1", signs(text)),
         "0003-revised": revisions(marked, "signs-1", signs(text), signs(stripped)),
-        "0004-taken-down": deletes(down, "words-1", words(text)).unionByName(deletes(down, "signs-1", signs(stripped))),
+        "0004-taken-down": deletes(down, "words-1", F.col("_w")).unionByName(deletes(down, "signs-1", F.col("_s"))),
     }
     for name, changes in batches.items():
         store.commit(name, changes)
