@@ -1,11 +1,11 @@
 """Quality rules by n-gram perplexity under modified Kneser-Ney models, one for each language.
 
-The n-grams are of characters folded to 32 symbols, order 4, so a language has 2**20 possible
-n-grams however large the corpus is: that bounds counts, models and broadcasts (at most 2**20 rows
-a language; the number of languages is the number of distinct values of the language column).
-Each task counts its own rows densely and sends the counts that aren't zero; Spark adds them up.
-A model is a set of arrays sorted by n-gram hash (probability mass) and by context hash (back-off
-weight), read by binary search.
+The n-grams are of five code points as they stand, none folded, and all of them are kept: counts and
+model are tables in the shared folder that grow with the corpus. Texts are split in halves by a hash,
+and each is scored under the model of the other half, so that no text (nor an exact copy) speaks for
+itself. Groups of texts that lie together send each n-gram once to a sorted join with the model and
+get its log probabilities back. The model over 32 folded symbols (``grams`` to ``unpack``) serves
+small closed sets; the rules don't use it.
 
 A document's figure is the lower median over its pieces of about 128 symbols of the log perplexity.
 It is rejected when that lies beyond the quartiles of its language (over all documents that pass
@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import column, field, map_batches, materialise, own_name, texts_of
+from .common import column, cut, field, map_batches, materialise, own_name, texts_of
 
 ORDER, SYMBOLS_BITS = 4, 5
 BLANK, DIGIT, STOP, SIGN = 1, 28, 30, 31
@@ -277,39 +278,163 @@ def middle(logs: np.ndarray, lengths: np.ndarray, piece: int) -> np.ndarray:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(docs: DataFrame, models: dict[str, bytes], *, text: str = "text", lang: str = "lang", carry: list[str] | None = None, min_words: int = 20, max_repeat_percent: int = 30, piece: int = 128) -> DataFrame:
+REACH, GROUP_BYTES = 5, 16 << 20
+START = 2  # a control sign before the text
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of the last five code points at every place of the texts, with signs for the start
+    before each; the padded code points, and the place of each hash in them. NUL counts as U+FFFD."""
+    codes, lengths = code_points(texts)
+    at = np.arange(len(codes)) + (REACH - 1) * (np.repeat(np.arange(len(lengths)), lengths) + 1)
+    padded = np.full(len(codes) + (REACH - 1) * len(lengths), START, np.uint32)
+    padded[at] = np.where(codes == 0, 0xFFFD, codes)
+    return window_hashes(padded, at), padded, at
+
+
+def window_hashes(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(at), np.uint64)
+    for k in range(REACH - 1, -1, -1):
+        h = (h + padded[at - k].astype(np.uint64) + np.uint64(1)) * _MIX
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def grouped_texts(docs: DataFrame, carry: list[str], text: str, lang: str) -> tuple[DataFrame, list[str]]:
+    """``carry``, and the names of the text, language, group (of about ``GROUP_BYTES`` of text that
+    lie together) and half (by a hash of the text). Written down, so that groups stay."""
+    own = [text if text in carry else own_name(docs, "_text"), own_name(docs, "_lang"), own_name(docs, "_half"), own_name(docs, "_group")]
+    picked = docs.select(*carry, *([] if text in carry else [F.col(text).alias(own[0])]), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias(own[1]), F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias(own[2]))
+    before = F.spark_partition_id().cast("bigint") * F.lit(1 << 20)
+
+    def run(batches):
+        seen = 0
+        for b in batches:
+            start = column(b, own[3]).to_numpy()
+            yield [*[b.column(i) for i in range(b.num_columns - 1)], pa.array(start + seen // GROUP_BYTES)]
+            seen += column(b, own[0]).nbytes
+
+    numbered = picked.withColumn(own[3], before)
+    return materialise(map_batches(numbered, run, numbered.schema, limit=1 << 20, text=own[0]), "texts"), own
+
+
+def count_windows(texts: DataFrame, own: list[str]) -> DataFrame:
+    """``lang, gram, m0, m1, of``: the five code points, how often each half's model sees them (that
+    is, the texts of the other half) and the group. Whole texts of all documents, each group's
+    counts summed first where they lie together."""
+    text, lang, half, group = own
+
+    def run(batches):
+        parts: dict[str, list] = {}
+        now, size = None, 0
+
+        def flushed():
+            for name, held in parts.items():
+                h = np.concatenate([x[0] for x in held])
+                keys, first, back = np.unique(h, return_index=True, return_inverse=True)
+                grams_ = np.concatenate([x[1] for x in held])[first]
+                m = [np.bincount(back, weights=np.concatenate([x[2 + j] for x in held]), minlength=len(keys)).astype(np.int64) for j in (0, 1)]
+                yield [pa.array([name] * len(keys), pa.string()), pa.array(grams_.tolist(), pa.string()), pa.array(m[0]), pa.array(m[1]), pa.array(np.full(len(keys), now, np.int64))]
+            parts.clear()
+
+        for b in batches:
+            groups = column(b, group).to_numpy()
+            for g in np.unique(groups).tolist():
+                if g != now or size > GROUP_BYTES:
+                    yield from flushed()
+                    now, size = g, 0
+                rows = b.filter(pa.array(groups == g))
+                langs, halves, all_texts = np.array(column(rows, lang).to_pylist(), object), column(rows, half).to_numpy(), texts_of(rows, text)
+                size += sum(map(len, all_texts))
+                for name in dict.fromkeys(langs):
+                    mine = np.flatnonzero(langs == name)
+                    h, padded, at = windows(picked := [all_texts[i] for i in mine])
+                    which = np.repeat(halves[mine], np.fromiter(map(len, picked), np.int64, len(picked)))
+                    keys, first, back = np.unique(h, return_index=True, return_inverse=True)
+                    wide = np.ascontiguousarray(np.stack([padded[at[first] - k] for k in range(REACH - 1, -1, -1)], 1))
+                    m = [np.bincount(back[which != j], minlength=len(keys)) for j in (0, 1)]
+                    parts.setdefault(name, []).append((keys, wide.view(f"<U{REACH}").reshape(-1), *m))
+        yield from flushed()
+
+    schema = T.StructType([field("lang", "string"), field("gram", "string"), field("m0", "bigint"), field("m1", "bigint"), field("of", "bigint")])
+    return materialise(map_batches(texts.select(*own), run, schema, limit=2 << 20, text=text), "windows")
+
+
+def window_logs(counted: DataFrame) -> DataFrame:
+    """``lang, gram, p0, p1``: the probability of each gram's last code point under the modified
+    Kneser-Ney model of each half. All of it is joins on n-grams, sorted at every size, so the model
+    grows with the corpus and nothing of it is collected; one row a language is broadcast."""
+    table = {REACH: materialise(counted.groupBy("lang", "gram").agg(F.sum("m0").alias("m0"), F.sum("m1").alias("m1")), "order")}
+    for k in range(REACH - 1, 0, -1):  # lower orders count the distinct code points that come before
+        more = [F.sum((F.col(f"m{j}") > 0).cast("bigint")).alias(f"m{j}") for j in (0, 1)]
+        table[k] = materialise(table[k + 1].groupBy("lang", F.substring("gram", 2, REACH).alias("gram")).agg(*more), "order")
+    lower = table[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p0")).select("lang", F.lit("").alias("suffix"), "p0", F.col("p0").alias("p1"))
+    for k in range(1, REACH + 1):
+        of_counts = table[k].groupBy("lang").agg(*[F.sum((F.col(f"m{j}") == c).cast("double")).alias(f"c{j}{c}") for j in (0, 1) for c in (1, 2, 3, 4)])
+        cuts = []
+        for j in (0, 1):
+            c = [None, *[F.col(f"c{j}{i}") for i in (1, 2, 3, 4)]]
+            usual = (c[1] > 0) & (c[2] > 0) & (c[3] > 0)
+            y = F.try_divide(c[1], c[1] + 2 * c[2])
+            for i in (1, 2, 3):
+                d = i - (i + 1) * y * F.try_divide(c[i + 1], c[i])
+                cuts.append(F.when(usual, F.least(F.greatest(d, F.lit(0.01)), F.lit(i - 0.01))).otherwise(F.lit(i / 2)).alias(f"d{j}{i}"))
+        rows = table[k].join(F.broadcast(of_counts.select("lang", *cuts)), "lang")
+        for j in (0, 1):
+            m = F.col(f"m{j}")
+            rows = rows.withColumn(f"cut{j}", F.when(m == 0, 0.0).when(m == 1, F.col(f"d{j}1")).when(m == 2, F.col(f"d{j}2")).otherwise(F.col(f"d{j}3")))
+        rows = rows.select("lang", "gram", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), F.substring("gram", 2, REACH).alias("suffix"), "m0", "m1", "cut0", "cut1")
+        sums_ = rows.groupBy("lang", "context").agg(*[F.sum(f"{x}{j}").alias(f"{y}{j}") for j in (0, 1) for x, y in (("m", "all"), ("cut", "back"))])
+        joined = rows.join(sums_.hint("merge"), ["lang", "context"]).join(lower.hint("merge"), ["lang", "suffix"])
+        made = [F.when(F.col(f"all{j}") > 0, F.try_divide(F.col(f"m{j}") - F.col(f"cut{j}") + F.col(f"back{j}") * F.col(f"p{j}"), F.col(f"all{j}"))).otherwise(F.col(f"p{j}")).alias(f"p{j}") for j in (0, 1)]
+        lower = joined.select("lang", F.col("gram").alias("suffix"), *made)
+        if k < REACH:
+            lower = materialise(lower, "lower")
+    return lower.withColumnRenamed("suffix", "gram")
+
+
+def measure(docs: DataFrame, *, text: str = "text", lang: str = "lang", carry: list[str] | None = None, min_words: int = 20, max_repeat_percent: int = 30, piece: int = 128) -> DataFrame:
     """``carry`` (all columns if None) and a struct ``rules`` (or longer, if that name is taken)
     with the base figures, ``base_failed`` and ``log_ppl``."""
     carry = docs.columns if carry is None else carry
-    sc = docs.sparkSession.sparkContext
-    sent = {k: sc.broadcast(v) for k, v in models.items()}  # a few MB each, read where it is needed
     kept = own_name(docs, "rules")
     inner = T.StructType([*[field(c, "bigint") for c in COUNTS], field("base_failed", "boolean"), field("lang", "string"), field("n_symbols_scored", "bigint"), field("log_ppl", "double")])
     schema = T.StructType([*[docs.schema[c] for c in carry], field(kept, inner)])
-    own = [own_name(docs, "_text"), own_name(docs, "_lang")]
-
-    def run(batches):
-        ready: dict[str, Model] = {}
-        for b in batches:
-            texts = texts_of(b, own[0])
-            langs = np.array([x if x is not None else NO_LANG for x in column(b, own[1]).to_pylist()], object)
-            codes, lengths = code_points(texts)
-            got = base_counts(texts, codes, lengths)
-            keys, lengths = grams(codes, lengths)
-            logs = np.zeros(len(keys), np.float32)
+    texts, own = grouped_texts(docs, carry, text, lang)
+    counted = count_windows(texts, own)
+    logs_of = counted.select("lang", "gram", "of").join(window_logs(counted).hint("merge"), ["lang", "gram"]).select("of", "lang", "gram", F.log("p0").cast("float").alias("l0"), F.log("p1").cast("float").alias("l1"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = {}
+        names = np.array(right["lang"].to_pylist(), object)
+        for name in dict.fromkeys(names):
+            mine = right.filter(pa.array(names == name))
+            padded = np.frombuffer("".join(mine["gram"].to_pylist()).encode("utf-32-le"), np.uint32)
+            h = window_hashes(padded, np.arange(REACH - 1, len(padded), REACH))
+            by = np.argsort(h)
+            found[name] = h[by], [mine[f"l{j}"].to_numpy()[by] for j in (0, 1)]
+        target, made = to_arrow_schema(schema), []
+        for b in cut(left.to_batches(), own[0], 1 << 20):
+            texts_, langs, halves = texts_of(b, own[0]), np.array(column(b, own[1]).to_pylist(), object), column(b, own[2]).to_numpy()
+            codes, lengths = code_points(texts_)
+            got = base_counts(texts_, codes, lengths)
+            h, _, _ = windows(texts_)
+            logs = np.zeros(len(h), np.float32)
             for name in dict.fromkeys(langs):
-                if name not in ready:
-                    if len(ready) > 16:
-                        ready.clear()
-                    ready[name] = unpack(sent[name].value)
-                mine = np.repeat(langs == name, lengths)
-                logs[mine] = ready[name].log_p(keys[mine])
+                for j in (0, 1):
+                    mine = np.flatnonzero(np.repeat((langs == name) & (halves == j), lengths))
+                    if len(mine):
+                        keys, values = found[name]
+                        at = np.minimum(np.searchsorted(keys, h[mine]), len(keys) - 1)
+                        if (keys[at] != h[mine]).any():
+                            raise RuntimeError("a text has n-grams that were not counted")
+                        logs[mine] = values[j][at]
             failed = (got["n_words"] < min_words) | (100 * got["n_repeat_words"] > max_repeat_percent * got["n_words"])
             cols = [*[pa.array(got[c]) for c in COUNTS], pa.array(failed), pa.array(langs, pa.string()), pa.array(lengths), pa.array(middle(logs, lengths, piece))]
-            yield [*[b.column(i) for i in range(len(carry))], pa.StructArray.from_arrays(cols, [f.name for f in inner])]
+            made.append(pa.RecordBatch.from_arrays([*[column(b, c).cast(target.field(c).type) for c in carry], pa.StructArray.from_arrays(cols, [f.name for f in inner]).cast(target.field(kept).type)], schema=target))
+        return pa.Table.from_batches(made, target)
 
-    picked = docs.select(*carry, F.col(text).alias(own[0]), F.col(lang).cast("string").alias(own[1]))
-    return map_batches(picked, run, schema, limit=1 << 20, text=own[0])
+    return texts.groupBy(own[3]).cogroup(logs_of.groupBy("of")).applyInArrow(run, schema)
 
 
 def judge(measured: DataFrame, *, rules: str = "rules", above: float = 2.5, below: float = 6.0) -> DataFrame:
@@ -330,7 +455,7 @@ def judge(measured: DataFrame, *, rules: str = "rules", above: float = 2.5, belo
 
 
 def quality_rules(docs: DataFrame, *, carry: list[str] | None = None, text: str = "text", lang: str = "lang", **how) -> DataFrame:
-    """Fit on all documents, score them, and judge: ``carry`` and the struct of all figures, the
+    """Count all documents, score each under the other half, and judge: ``carry`` and the struct of all figures, the
     last column."""
-    scored = measure(docs, fit(docs, text=text, lang=lang), text=text, lang=lang, carry=carry)
+    scored = measure(docs, text=text, lang=lang, carry=carry)
     return judge(materialise(scored, "rules"), rules=scored.columns[-1], **how)

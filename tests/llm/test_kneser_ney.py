@@ -99,3 +99,43 @@ def test_counts_are_of_all_documents(spark):
     for t, lang in (("abcab", "x"), ("ab", "x"), ("ab", kn.NO_LANG)):
         want.update((lang, int(k)) for k in kn.grams(*kn.code_points([t]))[0])
     assert got == dict(want)
+
+
+def brute_window_p(grams: Counter, gram: str, n_symbols: int) -> float:
+    """Modified Kneser-Ney over strings of five code points."""
+    table = {5: grams}
+    for n in (4, 3, 2, 1):
+        table[n] = Counter(g[1:] for g in table[n + 1])
+    p = 1 / (n_symbols + 1)
+    for n in range(1, 6):
+        c, mine = table[n], gram[5 - n :]
+        of = Counter(c.values())
+        d = [0.5, 1.0, 1.5]
+        if of[1] and of[2] and of[3]:
+            y = of[1] / (of[1] + 2 * of[2])
+            d = [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0.01), k - 0.01) for k in (1, 2, 3)]
+        follow = {g: v for g, v in c.items() if g[:-1] == mine[:-1]}
+        if follow:
+            cut = {g: d[min(v, 3) - 1] for g, v in follow.items()}
+            p = (follow.get(mine, 0) - cut.get(mine, 0) + sum(cut.values()) * p) / sum(follow.values())
+    return p
+
+
+def test_model_is_unfolded_and_grows_with_the_corpus(spark):
+    random.seed(6)
+    rows = [("".join(random.choices("\u4e00\u4e1aab19 $", k=150)), random.choice(["x", None])) for _ in range(40)] + [("99999$$$$$", "x"), (None, "x"), ("", "y")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    texts, own = kn.grouped_texts(docs, [], "text", "lang")
+    counted = kn.count_windows(texts, own)
+    want = defaultdict(Counter)
+    for r in texts.collect():
+        t = "\x02" * 4 + (r[own[0]] or "")
+        want[r[own[1]], 1 - r[own[2]]].update(t[i : i + 5] for i in range(len(t) - 4))
+    model = {(r.lang, r.gram): (r.p0, r.p1) for r in kn.window_logs(counted).collect()}
+    assert set(model) == {(k[0], g) for k, c in want.items() for g in c}
+    symbols = {k: len({g[-1] for (a, g) in model if a == k}) for k, _ in want}
+    for name, g in random.sample(sorted(model), 60):
+        assert model[name, g] == pytest.approx([brute_window_p(want[name, j], g, symbols[name]) for j in (0, 1)], rel=1e-9)
+    more = spark.createDataFrame([*rows, *[("".join(chr(random.randrange(0x4E00, 0x9FFF)) for _ in range(300)), "x") for _ in range(40)]], "text string, lang string")
+    texts, own = kn.grouped_texts(more, [], "text", "lang")
+    assert kn.count_windows(texts, own).select("lang", "gram").distinct().count() > len(model) + 11_000
