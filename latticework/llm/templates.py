@@ -125,6 +125,8 @@ def parse(html: str) -> Page:
                 whole = f"{node.sign}{''.join(node.parts)}</>"
                 subtrees[node.number] = xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass")) - (1 << 63)
                 stack[-1].parts.append(f"{subtrees[node.number]:x}")
+            elif node.tag in INLINE:
+                node.parts.append("</>")
 
     def depth_of(tags: set[str], scope: set[str]) -> int:
         """How many elements to close to end the innermost of ``tags`` within ``scope``."""
@@ -165,6 +167,9 @@ def parse(html: str) -> Page:
         if not inline or dropped != up.dropped:
             flush()
         node = Node(tag, dropped, own, inline and dropped == up.dropped)
+        if inline:  # its text belongs to the subtree of the block around it
+            node.parts = up.parts
+            node.parts.append(f"<{tag}>")
         if not own and not inline and tag not in ("html", "body", "head"):
             node.number = len(subtrees)
             subtrees.append(0)

@@ -80,3 +80,10 @@ def test_whole_table_against_plain_extraction(spark):
 
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in op1_site_templates(spark, "/root/testdata/sf0.01").collect()}
     assert got == {r.page_id: (r.url, t := plain(r.html), len(t)) for r in pages}
+
+
+def test_hashes_cover_text_in_inline_elements(spark):
+    body = lambda i: f"<h1><a href=/{i}>Title {i}</a></h1><p><span>Unique <i>text {i}</i></span></p><ul><li><a>item {i}</a></li></ul><p><b>Same line</b></p>"
+    df = spark.createDataFrame([(i, *site("three.example", i, body(i))) for i in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in tp.extract(df).collect()}
+    assert got == {i: f"Title {i}\n\nUnique text {i}\n\nitem {i}" for i in range(12)}
