@@ -1,14 +1,15 @@
 """Main text of web pages by site template removal.
 
-Each page is parsed once into blocks of text. Every element that stands outside the page's own
-article is hashed as a subtree (tags, classes and text); Spark counts in how many different pages
-of its host each subtree occurs, and subtrees that recur in many of them are deleted with all they
-hold. What is never main text by its element, role or class goes in any case: menus, headers,
+Each page is parsed once into blocks of text. Every element, inside an article too, is hashed as a
+subtree (tags, classes and text); Spark counts in how many different pages of its host each subtree
+occurs, and subtrees that recur are deleted with all they hold: in ``least`` pages, or in as many as
+the binary logarithm of the host's pages if that is more. What is never main text by its element, role or class goes in any case: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
-An ``article`` or ``main`` element is the page's own: its paragraphs are not counted, so articles
-that a host publishes twice stay whole. Pages with equal text count once for a subtree, so copies
-of a page don't make its paragraphs a template.
+An ``article`` or ``main`` element is a hint only: where it holds half or more of what is left of
+the page, it is the main text alone, else all that is left is. Pages whose article (or, where that is
+the smaller part, whose whole text) is equal count once for a subtree, so copies of a page don't make
+its paragraphs a template.
 
 Character references are decoded, white space within a block becomes one space, and blocks are
 joined in page order by two line feeds. A null html has an empty text; so has a page without any
@@ -51,6 +52,7 @@ DROP_WORDS = frozenset(
     " share sharing social login signup search form skip hidden".split()
 )
 CONTENT = ("article", "main")
+BUCKETS = 1 << 20
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
 
@@ -112,7 +114,6 @@ def parse(html: str) -> Page:
             top = stack[-1]
             if not top.dropped:
                 buffer.append(text)
-            if not top.own:
                 top.parts.append(SPACE.sub(" ", text))
 
     def close(n: int) -> None:
@@ -170,7 +171,7 @@ def parse(html: str) -> Page:
         if inline:  # its text belongs to the subtree of the block around it
             node.parts = up.parts
             node.parts.append(f"<{tag}>")
-        if not own and not inline and tag not in ("html", "body", "head"):
+        if not dropped and not inline and tag not in ("html", "body", "head"):
             node.number = len(subtrees)
             subtrees.append(0)
             node.sign = f"<{tag} {attributes.get('class', '')}>"
@@ -198,24 +199,26 @@ def host_of(url: str | None) -> str:
 
 
 def parsed(pages: DataFrame, *, carry: list[str], url: str, html: str) -> DataFrame:
-    """``carry`` and a struct ``_p``: uid, host, digest (of all blocks), text (final, where the page
-    has an article), blocks (where it has none) and subtrees."""
-    inner = T.StructType([field("uid", "bigint"), field("host", "string"), field("digest", "bigint"), field("text", "string"), field("blocks", "array<struct<text:string,around:array<int>>>"), field("subtrees", "array<bigint>")])
+    """``carry`` and a struct ``_p``: uid, host, digest (of the main blocks), blocks and the subtrees
+    that hold any."""
+    inner = T.StructType([field("uid", "bigint"), field("host", "string"), field("digest", "bigint"), field("blocks", "array<struct<text:string,own:boolean,around:array<int>>>"), field("subtrees", "array<bigint>")])
     own = [own_name(pages, x) for x in ("_uid", "_url", "_html")]
     schema = T.StructType([*[pages.schema[c] for c in carry], field(own_name(pages, "_p"), inner)])
-    kind = pa.struct([("uid", pa.int64()), ("host", pa.string()), ("digest", pa.int64()), ("text", pa.string()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int32()))]))), ("subtrees", pa.list_(pa.int64()))])
+    kind = pa.struct([("uid", pa.int64()), ("host", pa.string()), ("digest", pa.int64()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("own", pa.bool_()), ("around", pa.list_(pa.int32()))]))), ("subtrees", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
             out = []
             for uid, url_, raw in zip(*(column(b, n).to_pylist() for n in own), strict=True):
                 page = parse(raw or "")
-                mine = [t for t, inside, _ in page.blocks if inside]
-                digest = xxhash.xxh3_64_intdigest("\n\n".join(mine or [t for t, _, _ in page.blocks]).encode("utf-8", "surrogatepass")) - (1 << 63)
+                used = sorted({n for _, _, around in page.blocks for n in around})
+                at = {n: i for i, n in enumerate(used)}
+                all_, mine = "\n\n".join(t for t, _, _ in page.blocks), "\n\n".join(t for t, inside, _ in page.blocks if inside)
+                main = mine if 2 * len(mine) >= len(all_) else all_
                 out.append({
-                    "uid": uid, "host": host_of(url_), "digest": digest, "subtrees": page.subtrees,
-                    "text": "\n\n".join(mine) if mine or not page.blocks else None,
-                    "blocks": [] if mine else [{"text": t, "around": around} for t, _, around in page.blocks],
+                    "uid": uid, "host": host_of(url_), "digest": xxhash.xxh3_64_intdigest(main.encode("utf-8", "surrogatepass")) - (1 << 63),
+                    "blocks": [{"text": t, "own": inside, "around": [at[n] for n in around]} for t, inside, around in page.blocks],
+                    "subtrees": [page.subtrees[n] for n in used],
                 })
             yield [*[b.column(i) for i in range(len(carry))], pa.array(out, kind)]
 
@@ -223,33 +226,38 @@ def parsed(pages: DataFrame, *, carry: list[str], url: str, html: str) -> DataFr
     return materialise(map_batches(picked, run, schema, text=own[2]), "parsed")
 
 
-def templates(rows: DataFrame, p: str, *, least: int = 5, share: float = 0.2) -> DataFrame:
-    """``host, subtree, pages``: subtrees in at least ``least`` different pages of the host, which
-    are ``share`` of its pages or more. Counts are summed within tasks before they are dealt."""
+def templates(rows: DataFrame, p: str, *, least: int = 5) -> DataFrame:
+    """``host, subtree, pages``: subtrees in at least ``least`` different pages of the host, and in
+    no fewer than the binary logarithm of its pages. Counts are summed within tasks before they are dealt."""
     r = F.col(p)
     there = rows.filter(r["host"] != "").select(r["host"].alias("host"), r["digest"].alias("digest"), F.array_distinct(r["subtrees"]).alias("subtrees"))
     pages = there.select("host", "digest").distinct().groupBy(F.col("host").alias("h")).agg(F.count("*").alias("of"))
     seen = there.select("host", "digest", F.explode("subtrees").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
-    return seen.join(pages, F.col("host") == F.col("h")).filter(F.col("pages") >= share * F.col("of")).select("host", "subtree", "pages")
+    return seen.join(pages, F.col("host") == F.col("h")).filter(F.col("pages") >= F.log2("of")).select("host", "subtree", "pages")
 
 
-def extract(pages: DataFrame, *, url: str = "url", html: str = "html", carry: list[str] | None = None, least: int = 5, share: float = 0.2) -> DataFrame:
+def extract(pages: DataFrame, *, url: str = "url", html: str = "html", carry: list[str] | None = None, least: int = 5) -> DataFrame:
     """``carry`` (all columns but ``html`` if None) and ``text`` (or longer, if that is taken)."""
     carry = [c for c in pages.columns if c != html] if carry is None else carry
     rows = parsed(pages, carry=carry, url=url, html=html)
     p = rows.columns[-1]
     r = F.col(p)
-    found = templates(rows, p, least=least, share=share)
-    # only pages without an article wait for the templates of their host
-    waiting = rows.filter(r["text"].isNull()).select(r["uid"].alias("uid"), r["host"].alias("host"), F.posexplode(r["subtrees"]).alias("at", "subtree"))
-    gone = waiting.join(found.select(F.col("host").alias("h"), F.col("subtree").alias("s")), (F.col("host") == F.col("h")) & (F.col("subtree") == F.col("s"))).groupBy(F.col("uid").alias("of")).agg(F.collect_set("at").alias("_gone"))
-    joined = rows.filter(r["text"].isNull()).join(gone, r["uid"] == F.col("of"), "left")
-    kept = F.filter(r["blocks"], lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("_gone")), F.lit(False)))
-    cleaned = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
+    found = templates(rows, p, least=least)
+    there = rows.select(r["uid"].alias("uid"), r["host"].alias("host"), F.posexplode(r["subtrees"]).alias("at", "subtree"))
+    gone = there.join(found.select(F.col("host").alias("h"), F.col("subtree").alias("s")), (F.col("host") == F.col("h")) & (F.col("subtree") == F.col("s"))).groupBy(F.col("uid").alias("of")).agg(F.collect_set("at").alias("_gone"))
+    gone = materialise(gone, "gone")
+    # pages that hold no template aren't dealt out; the table of buckets has ``BUCKETS`` rows at most
+    bucket = lambda uid: F.pmod(F.xxhash64(uid), F.lit(BUCKETS)).cast("int")
+    used = gone.select(bucket(F.col("of")).alias("_b")).distinct()
+    hit = bucket(r["uid"]) == F.col("_b")
+    dealt = rows.join(F.broadcast(used), hit, "left_semi").join(gone.hint("merge"), r["uid"] == F.col("of"), "left")
+    whole = rows.join(F.broadcast(used), hit, "left_anti").withColumn("_gone", F.lit(None).cast("array<int>"))
     name = "text"
     while name in carry:
         name = f"_{name}"
+    together = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
+    kept = F.filter(r["blocks"], lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("_gone")), F.lit(False)))
+    mine, all_ = together(F.filter(kept, lambda b: b["own"])), together(kept)
+    text = F.when(2 * F.length(mine) >= F.length(all_), mine).otherwise(all_)
     cols = [F.col(c) for c in carry]
-    # the text of pages with an article is final and isn't dealt out again
-    final = rows.filter(r["text"].isNotNull()).select(*cols, r["text"].alias(name))
-    return final.unionByName(joined.select(*cols, cleaned.alias(name)))
+    return whole.select(*cols, text.alias(name)).unionByName(dealt.select(*cols, text.alias(name)))

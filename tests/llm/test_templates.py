@@ -87,3 +87,13 @@ def test_hashes_cover_text_in_inline_elements(spark):
     df = spark.createDataFrame([(i, *site("three.example", i, body(i))) for i in range(12)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in tp.extract(df).collect()}
     assert got == {i: f"Title {i}\n\nUnique text {i}\n\nitem {i}" for i in range(12)}
+
+
+def test_boxes_in_articles_go_and_articles_are_a_hint(spark):
+    boxed = lambda i: f"<p>Report {i} in full</p><div class=box><p>Read also our best</p></div><p>It ends {i}</p>"
+    rows = [(i, *site("four.example", i, boxed(i) if i < 9 else f"<p>Report {i} in full</p>", True)) for i in range(100)]
+    rows += [(200 + i, f"http://five.example/{i}", f"<div class=story><p>A long story {i} that stands outside</p></div><article><p>Teaser</p></article>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in tp.extract(df).collect()}
+    assert got[3] == "Report 3 in full\n\nIt ends 3" and got[50] == "Report 50 in full"
+    assert got[201] == "A long story 1 that stands outside\n\nTeaser"
