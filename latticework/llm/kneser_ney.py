@@ -7,9 +7,10 @@ itself. Groups of texts that lie together send each n-gram once to a sorted join
 get its log probabilities back. The model over 32 folded symbols (``grams`` to ``unpack``) serves
 small closed sets; the rules don't use it.
 
-A document's figure is the lower median over its pieces of about 128 symbols of the log perplexity.
-It is rejected when that lies beyond the quartiles of its language (over all documents that pass
-the base rules) by more than ``above`` or ``below`` interquartile ranges; for texts shorter than
+A document's figures are the log perplexity of its whole text and that of its upper-decile piece of
+about 128 symbols. It is rejected when the first lies beyond the quartiles of its language (over all
+documents that pass the base rules) by more than ``above`` or ``below`` interquartile ranges, or the
+second beyond its own upper quartile by more than ``above``; for texts shorter than
 the language's median the bands widen with the root of the ratio, as such figures scatter more.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null texts have no words, and documents under ``min_words`` fail
@@ -260,21 +261,22 @@ def repeated_words(ids: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return sums((np.cumsum(delta)[:n] > 0).astype(np.int64), n_words)
 
 
-def middle(logs: np.ndarray, lengths: np.ndarray, piece: int) -> np.ndarray:
-    """Negative log probability a symbol: of each text the lower median over its near-equal pieces
-    of about ``piece`` symbols, so that a passage in another language or a list doesn't decide."""
+def figures(logs: np.ndarray, lengths: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log probability a symbol of each whole text, and of its upper-decile piece among
+    near-equal ones of about ``piece`` symbols, so that a corrupt tenth shows; 0 without symbols."""
     n_pieces = np.where(lengths > 0, np.maximum(1, lengths // piece), 0)
     first = np.cumsum(n_pieces) - n_pieces
     place = np.arange(len(logs)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     of = np.repeat(first, lengths) + place * np.repeat(n_pieces, lengths) // np.repeat(lengths, lengths)
     mean = -np.bincount(of, weights=logs, minlength=int(n_pieces.sum())) / np.maximum(np.bincount(of, minlength=int(n_pieces.sum())), 1)
     by = np.lexsort((mean, np.repeat(np.arange(len(lengths)), n_pieces)))
-    out = np.zeros(len(lengths))
+    worst = np.zeros(len(lengths))
     some = n_pieces > 0
-    out[some] = mean[by[(first + (n_pieces - 1) // 2)[some]]]
-    return out
+    worst[some] = mean[by[(first + n_pieces * 9 // 10)[some]]]
+    return -sums(logs, lengths) / np.maximum(lengths, 1), worst
 
 
+PIECE = 128
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -393,12 +395,12 @@ def window_logs(counted: DataFrame) -> DataFrame:
     return lower.withColumnRenamed("suffix", "gram")
 
 
-def measure(docs: DataFrame, *, text: str = "text", lang: str = "lang", carry: list[str] | None = None, min_words: int = 20, max_repeat_percent: int = 30, piece: int = 128) -> DataFrame:
+def measure(docs: DataFrame, *, text: str = "text", lang: str = "lang", carry: list[str] | None = None, min_words: int = 20, max_repeat_percent: int = 30, piece: int = PIECE) -> DataFrame:
     """``carry`` (all columns if None) and a struct ``rules`` (or longer, if that name is taken)
-    with the base figures, ``base_failed`` and ``log_ppl``."""
+    with the base figures, ``base_failed``, ``log_ppl`` and ``log_ppl_piece``."""
     carry = docs.columns if carry is None else carry
     kept = own_name(docs, "rules")
-    inner = T.StructType([*[field(c, "bigint") for c in COUNTS], field("base_failed", "boolean"), field("lang", "string"), field("n_symbols_scored", "bigint"), field("log_ppl", "double")])
+    inner = T.StructType([*[field(c, "bigint") for c in COUNTS], field("base_failed", "boolean"), field("lang", "string"), field("n_symbols_scored", "bigint"), field("log_ppl", "double"), field("log_ppl_piece", "double")])
     schema = T.StructType([*[docs.schema[c] for c in carry], field(kept, inner)])
     texts, own = grouped_texts(docs, carry, text, lang)
     counted = count_windows(texts, own)
@@ -430,7 +432,7 @@ def measure(docs: DataFrame, *, text: str = "text", lang: str = "lang", carry: l
                             raise RuntimeError("a text has n-grams that were not counted")
                         logs[mine] = values[j][at]
             failed = (got["n_words"] < min_words) | (100 * got["n_repeat_words"] > max_repeat_percent * got["n_words"])
-            cols = [*[pa.array(got[c]) for c in COUNTS], pa.array(failed), pa.array(langs, pa.string()), pa.array(lengths), pa.array(middle(logs, lengths, piece))]
+            cols = [*[pa.array(got[c]) for c in COUNTS], pa.array(failed), pa.array(langs, pa.string()), pa.array(lengths), *map(pa.array, figures(logs, lengths, piece))]
             made.append(pa.RecordBatch.from_arrays([*[column(b, c).cast(target.field(c).type) for c in carry], pa.StructArray.from_arrays(cols, [f.name for f in inner]).cast(target.field(kept).type)], schema=target))
         return pa.Table.from_batches(made, target)
 
@@ -442,16 +444,18 @@ def judge(measured: DataFrame, *, rules: str = "rules", above: float = 2.5, belo
 
     ``measured`` must be written down, as it is read twice."""
     r = F.col(rules)
-    quartiles = F.percentile_approx(r["log_ppl"], F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
+    quartiles = lambda x: F.percentile_approx(r[x], F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
     middle_size = F.percentile_approx(r["n_symbols_scored"], F.lit(0.5), F.lit(10_000))
-    q = measured.filter(~r["base_failed"]).groupBy(r["lang"].alias("_of")).agg(quartiles.alias("_q"), middle_size.alias("_size"))
-    iqr = F.greatest(F.element_at("_q", 2) - F.element_at("_q", 1), F.lit(0.01))
-    bands = q.select("_of", "_q", "_size", iqr.alias("_iqr"))
+    q = measured.filter(~r["base_failed"]).groupBy(r["lang"].alias("_of")).agg(quartiles("log_ppl").alias("_q"), quartiles("log_ppl_piece").alias("_p"), middle_size.alias("_size"))
+    iqr = lambda x: F.greatest(F.element_at(x, 2) - F.element_at(x, 1), F.lit(0.01))
+    bands = q.select("_of", "_q", "_p", "_size", iqr("_q").alias("_iqr"), iqr("_p").alias("_ipr"))
     # one row a language
     joined = measured.join(F.broadcast(bands), r["lang"] == F.col("_of"), "left")
-    reach = F.col("_iqr") * F.sqrt(F.greatest(F.lit(1.0), F.col("_size") / F.greatest(r["n_symbols_scored"], F.lit(1))))
+    wider = lambda size: F.sqrt(F.greatest(F.lit(1.0), size / F.greatest(r["n_symbols_scored"], F.lit(1))))
+    reach = F.col("_iqr") * wider(F.col("_size"))
     fits = r["log_ppl"].between(F.element_at("_q", 1) - below * reach, F.element_at("_q", 2) + above * reach)
-    return joined.withColumn(rules, r.withField("kept", F.coalesce(~r["base_failed"] & fits, F.lit(False)))).drop("_of", "_q", "_size", "_iqr")
+    fits &= r["log_ppl_piece"] <= F.element_at("_p", 2) + above * F.col("_ipr") * wider(F.lit(PIECE))
+    return joined.withColumn(rules, r.withField("kept", F.coalesce(~r["base_failed"] & fits, F.lit(False)))).drop("_of", "_q", "_p", "_size", "_iqr", "_ipr")
 
 
 def quality_rules(docs: DataFrame, *, carry: list[str] | None = None, text: str = "text", lang: str = "lang", **how) -> DataFrame:

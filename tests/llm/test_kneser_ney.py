@@ -139,3 +139,18 @@ def test_model_is_unfolded_and_grows_with_the_corpus(spark):
     more = spark.createDataFrame([*rows, *[("".join(chr(random.randrange(0x4E00, 0x9FFF)) for _ in range(300)), "x") for _ in range(40)]], "text string, lang string")
     texts, own = kn.grouped_texts(more, [], "text", "lang")
     assert kn.count_windows(texts, own).select("lang", "gram").distinct().count() > len(model) + 11_000
+
+
+def test_production_bands_judge_the_whole_text(spark):
+    random.seed(8)
+    words = ["".join(random.choices("etaoinshr", k=random.randint(2, 7))) for _ in range(400)]
+    speak = lambda n: " ".join(random.choices(words, k=n))
+    noise = lambda n: " ".join("".join(random.choices("bcdfgjkqvwxz0123#", k=6)) for _ in range(n))
+    rows = [(i, speak(random.randint(40, 300)), "en") for i in range(400)]
+    rows += [(900, speak(24) + " " + noise(20), "en"), (901, speak(240) + " " + noise(80), "en"), (902, speak(280) + " " + noise(40), "en")]
+    out = kn.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r.rules for r in out.collect()}
+    assert not any(got[k].kept for k in (900, 901, 902)), [got[k] for k in (900, 901, 902)]
+    assert sum(got[k].kept for k in range(400)) >= 380
+    whole, piece = kn.figures(np.array([-1.0] * 256 + [-9.0] * 256 + [-2.0]), np.array([512, 0, 1]), 128)
+    assert whole.tolist() == [5, 0, 2] and piece.tolist() == [9, 0, 2]
