@@ -209,10 +209,11 @@ def classes_of(prints: DataFrame, f: str) -> DataFrame:
 
 def block_pairs(df: DataFrame, member: str, n_blocks: Column) -> DataFrame:
     """Deal the members of each group to blocks by hash and repeat each for all pairs of blocks
-    that its own is in: ``own`` is its block, ``pair`` the number of the pair."""
+    that its own is in: ``own`` is its block, ``pair`` the number of the pair, and ``across`` tells
+    whether that is of two blocks."""
     df = df.withColumn("nb", n_blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64(member), F.col("nb")).cast("int"))
     other = F.explode(F.when(F.col("nb") > 1, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(F.lit(0))))
-    df = df.withColumn("other", other)
+    df = df.withColumn("other", other).withColumn("across", F.col("own") != F.col("other"))
     return df.withColumn("pair", F.least("own", "other").cast("bigint") * F.col("nb") + F.greatest("own", "other")).drop("other", "nb")
 
 
@@ -261,9 +262,9 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     return by_groups(members, ("key", "pair"), link, T.StructType([field("a", "bigint"), field("b", "bigint")]))
 
 
-def links_between(sets: list[np.ndarray], own: np.ndarray, chunk: int = 512, width: int = 2048) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, its linked rows), for pairs that this block pair is to judge: of one block if there is
-    one, else across the two. Intersections are exact: products of 0/1 matrices, ``width`` shingles
+def links_between(sets: list[np.ndarray], own: np.ndarray, across: bool, chunk: int = 512, width: int = 2048) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, its linked rows), for pairs that this block pair is to judge: ``across`` its two
+    blocks, even if rows of one of them only are there, else within its one. Intersections are exact: products of 0/1 matrices, ``width`` shingles
     at a time, below 2**24."""
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
@@ -276,7 +277,6 @@ def links_between(sets: list[np.ndarray], own: np.ndarray, chunk: int = 512, wid
     ids = new[ids]
     order = np.argsort(ids, kind="stable")
     ids, owner = ids[order], owner[order]
-    across = own.min() != own.max()
     tops = np.searchsorted(ids, np.arange(0, (ids[-1] if len(ids) else 0) + width + 1, width))
     for lo in range(0, n, chunk):
         hi = min(n, lo + chunk)
@@ -326,7 +326,7 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, *, key:
     bodies = bodies.join(F.broadcast(used), bucket(F.col("_digest")) == F.col("_b"), "left_semi")
     # a sorted join at every size: the members grow with the corpus, so they are never broadcast
     joined = bodies.join(dealt.hint("merge"), F.col("_key").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))).select("comp", "cid", "copies", "blocks", F.col("_text").alias("text"))
-    spread = block_pairs(joined, "cid", F.col("blocks")).select("comp", "pair", "own", "cid", "copies", "text")
+    spread = block_pairs(joined, "cid", F.col("blocks")).select("comp", "pair", "own", "across", "cid", "copies", "text")
 
     def verify(tables):
         for t in tables:
@@ -338,7 +338,7 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, *, key:
                 cid, copies = all_cid[at], all_copies[at]
                 h, n = shingles([texts[int(i)].as_py() for i in at])
                 sets = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
-                links = list(links_between(sets, all_own[at]))
+                links = list(links_between(sets, all_own[at], t["across"][lo].as_py()))
                 root = roots_of(len(at), links)
                 out += [(int(cid[i]), int(cid[root[i]]), int(copies[js].sum())) for i, js in links]
             if out:

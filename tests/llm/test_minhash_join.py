@@ -108,3 +108,14 @@ def test_components(spark):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+@pytest.mark.parametrize("shingles", [60, 25])
+def test_links_count_once_where_block_pairs_hold_one_block(spark, monkeypatch, shingles):
+    monkeypatch.setattr(mj, "SHINGLES_BLOCK", shingles)  # two or more blocks for each two copies
+    rows = []
+    for i in range(16):
+        base = [f"w{i}x{k}" for k in range(60)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base, "end"]))]
+    out = mj.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in out) == Counter((k, k // 2 * 2, 1) for k, _ in rows)
