@@ -44,12 +44,11 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 # What is never main text.
 DROP_TAGS = frozenset("script style noscript template iframe object embed svg canvas audio video form button select option input textarea nav aside footer head dialog menu".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
+# Names that can only mean something else than main text; recurrence decides about all others.
 DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription"
-    " nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget widgets related recommended recommendations trending"
-    " header masthead footer copyright legal disclaimer"
-    " comment comments commentlist respond replies reply disqus discussion"
-    " share sharing social login signup search form skip hidden".split()
+    "ad ads advert adverts advertisement advertisements sponsored gdpr cookie newsletter"
+    " nav navbar breadcrumb breadcrumbs pagination pager sidebar masthead footer"
+    " comment comments commentlist disqus".split()
 )
 CONTENT = ("article", "main")
 BUCKETS = 1 << 20
@@ -87,7 +86,10 @@ def is_dropped(tag: str, attributes: dict[str, str], in_own: bool) -> bool:
         return True
     if tag in ("body", "html") or tag in CONTENT:
         return False
-    names = WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
+    if in_own:  # whole class names only
+        names = attributes.get("class", "").lower().split()
+    else:
+        names = WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
     return not DROP_WORDS.isdisjoint(names)
 
 

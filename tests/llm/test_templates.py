@@ -97,3 +97,12 @@ def test_boxes_in_articles_go_and_articles_are_a_hint(spark):
     got = {r.page_id: r.text for r in tp.extract(df).collect()}
     assert got[3] == "Report 3 in full\n\nIt ends 3" and got[50] == "Report 50 in full"
     assert got[201] == "A long story 1 that stands outside\n\nTeaser"
+
+
+@pytest.mark.parametrize("start", ["section id='discussion'", "div class='post-header'", "h2 id='search'", "p class='notice-text'", "div class='legal-news'", "section class='widgets'", "p class='ad-hoc'"])
+@pytest.mark.parametrize("around", ["article", "main"])
+def test_names_alone_do_not_drop_main_text(start, around):
+    tag = start.split()[0]
+    assert text_of(f"<{around}><p>a</p><{start}>kept</{tag}><div class='x advert'>Buy</div><p>b</p></{around}>") == "a\n\nkept\n\nb"
+    if "ad-hoc" not in start:
+        assert text_of(f"<div><{start}>kept</{tag}></div>") == "kept"
