@@ -412,9 +412,33 @@ def rank_encoder(path: str) -> tuple[Encoder, Decoder]:
     return Encoder(ranks), Decoder(ranks)
 
 
+class LibraryEncoder(Encoder):
+    """What the library's ``encode(text, add_special_tokens=False)`` gives: texts that hold an added
+    token of the file go to the library whole, all others go piece by piece."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        super().__init__(LibraryMerges(path))
+        self.whole = Tokenizer.from_file(path)
+        self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        special = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        if not special:
+            return super().encode(texts)
+        rest = list(texts)
+        for i in special:
+            rest[i] = ""
+        out = super().encode(rest)
+        for i in special:
+            out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+
 @lru_cache(4)
-def library_encoder(path: str) -> Encoder:
-    return Encoder(LibraryMerges(path))
+def library_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def map_ids(docs: DataFrame, vocabulary: str, schema: T.StructType, fn: Callable, columns: list[str], text: str = "text") -> DataFrame:

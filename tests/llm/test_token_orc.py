@@ -38,3 +38,12 @@ def test_ties_nulls_and_empty(spark, tmp_path):
     token_orc.write(df.limit(0), str(tmp_path / "e"))
     schema = spark.read.orc(str(tmp_path / "t")).schema
     assert token_orc.digests(token_orc.read(spark, str(tmp_path / "e"), schema)).collect() == []
+
+
+def test_added_tokens_are_single_ids(spark, tmp_path):
+    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    rows = [(1, "plain text"), (2, "a <|endoftext|> b"), (3, "<|endoftext|><|endoftext|>"), (4, None), (5, "<|endoftext|"), (6, "it's <|endoftext|>\n fine")]
+    token_orc.write(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"))
+    got = token_orc.ids_of(spark, str(tmp_path / "t"), [k for k, _ in rows]).collect()
+    assert {r.doc_id: r.ids for r in got} == {k: [*t.encode(x or "", add_special_tokens=False).ids, 0] for k, x in rows}
+    assert {r.doc_id: r.ids for r in got}[2] == [64, 220, 50256, 275, 0]
