@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -51,12 +52,33 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, and a lost
-    executor costs a read instead of a recomputation."""
+    executor costs a read instead of a recomputation. Shuffle files go when the write has ended."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What is written within leaves no shuffle files on the executors' disks."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def forget(*written: DataFrame) -> None:
+    """Delete what ``materialise`` has written, once nothing reads it any more."""
+    for df in written:
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            fs, p = filesystem(df.sparkSession, folder)
+            fs.delete(p, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors that were not started with it on their path."""
     there = {os.path.abspath(x) for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x}

@@ -34,41 +34,24 @@ def test_base_counts():
     assert list(zip(*[got[c].tolist() for c in kn.COUNTS])) == [brute_counts(t) for t in texts]
 
 
-def brute_log_p(counts: Counter, key: int) -> float:
-    """Modified Kneser-Ney by its definition, over tuples."""
-    split = lambda k, n: tuple(k >> kn.SYMBOLS_BITS * i & 31 for i in range(n - 1, -1, -1))
-    table = {4: Counter({split(k, 4): n for k, n in counts.items()})}
-    for n in (3, 2, 1):
+def brute_window_p(grams: Counter, gram: str, n_symbols: int) -> float:
+    """Modified Kneser-Ney over strings of five code points."""
+    table = {5: grams}
+    for n in (4, 3, 2, 1):
         table[n] = Counter(g[1:] for g in table[n + 1])
-    p, g = 1 / 32, split(key, 4)
-    for n in (1, 2, 3, 4):
-        c, mine = table[n], g[4 - n :]
+    p = 1 / (n_symbols + 1)
+    for n in range(1, 6):
+        c, mine = table[n], gram[5 - n :]
         of = Counter(c.values())
+        d = [0.5, 1.0, 1.5]
         if of[1] and of[2] and of[3]:
             y = of[1] / (of[1] + 2 * of[2])
-            d = [min(max(x, 0.01), k - 0.01) for k, x in enumerate((1 - 2 * y * of[2] / of[1], 2 - 3 * y * of[3] / of[2], 3 - 4 * y * of[4] / of[3]), 1)]
-        else:
-            d = [0.5, 1.0, 1.5]
-        follow = [v for k, v in c.items() if k[:-1] == mine[:-1]]
-        if not follow:
-            continue
-        total = sum(follow)
-        cut = lambda v: d[min(v, 3) - 1]
-        back = sum(min(cut(v), v) for v in follow) / total
-        p = (max(c[mine] - cut(c[mine]), 0) / total if mine in c else 0) + back * p
-    return math.log(p)
-
-
-def test_model_against_definition():
-    random.seed(1)
-    text = "".join(random.choices("abc de", k=400))
-    keys, _ = kn.grams(*kn.code_points([text]))
-    counts = Counter(keys.tolist())
-    model = kn.unpack(kn.pack(kn.estimate(np.array(sorted(counts)), np.array([counts[k] for k in sorted(counts)]))))
-    probe = np.array([*sorted(counts)[:40], *random.sample(range(1 << 20), 40)])
-    assert model.log_p(probe) == pytest.approx([brute_log_p(counts, int(k)) for k in probe], rel=1e-4)
-    context = probe[3] >> 5 << 5
-    assert np.exp(model.log_p(context + np.arange(32))).sum() == pytest.approx(1, abs=1e-3)
+            d = [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0.01), k - 0.01) for k in (1, 2, 3)]
+        follow = {g: v for g, v in c.items() if g[:-1] == mine[:-1]}
+        if follow:
+            cut = {g: d[min(v, 3) - 1] for g, v in follow.items()}
+            p = (follow.get(mine, 0) - cut.get(mine, 0) + sum(cut.values()) * p) / sum(follow.values())
+    return p
 
 
 def test_rules(spark):
@@ -79,7 +62,7 @@ def test_rules(spark):
     rows += [(900, " ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz012,#", k=6)) for _ in range(60)), "en"), (901, "short", "en"), (902, None, None), (903, "", "en"), (904, "same words here again " * 40, "en")]
     rows += [(905, speak(en, 60), None), (None, speak(en, 60), "en"), (0, rows[0][1], "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "7 AS rules")
-    out = kn.quality_rules(df, below=2.0, above=2.0)
+    out = kn.quality_rules(df, below=2.0, above=2.0, above_piece=2.0)
     name = out.columns[-1]
     got = [(r.doc_id, r[name]) for r in out.collect()]
     assert len(got) == len(rows)
@@ -92,53 +75,117 @@ def test_rules(spark):
     assert kn.quality_rules(df.limit(0)).collect() == []
 
 
-def test_counts_are_of_all_documents(spark):
-    df = spark.createDataFrame([("abcab", "x"), ("ab", "x"), ("ab", None), (None, "x")], "text string, lang string")
-    got = {(r.lang, r.gram): r.n for r in kn.count_grams(df).collect()}
-    want = Counter()
-    for t, lang in (("abcab", "x"), ("ab", "x"), ("ab", kn.NO_LANG)):
-        want.update((lang, int(k)) for k in kn.grams(*kn.code_points([t]))[0])
-    assert got == dict(want)
+def model_of(docs):
+    rows, own = kn.sources(docs, [], "text", "lang")
+    return rows, own, kn.window_logs(kn.count_windows(rows, own))
 
 
-def brute_window_p(grams: Counter, gram: str, n_symbols: int) -> float:
-    """Modified Kneser-Ney over strings of five code points."""
-    table = {5: grams}
-    for n in (4, 3, 2, 1):
-        table[n] = Counter(g[1:] for g in table[n + 1])
-    p = 1 / (n_symbols + 1)
-    for n in range(1, 6):
-        c, mine = table[n], gram[5 - n :]
-        of = Counter(c.values())
-        d = [0.5, 1.0, 1.5]
-        if of[1] and of[2] and of[3]:
-            y = of[1] / (of[1] + 2 * of[2])
-            d = [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0.01), k - 0.01) for k in (1, 2, 3)]
-        follow = {g: v for g, v in c.items() if g[:-1] == mine[:-1]}
-        if follow:
-            cut = {g: d[min(v, 3) - 1] for g, v in follow.items()}
-            p = (follow.get(mine, 0) - cut.get(mine, 0) + sum(cut.values()) * p) / sum(follow.values())
-    return p
+def brute_model(rows, own):
+    want = defaultdict(Counter)
+    for r in rows.collect():
+        t = "\x02" * 4 + (r[own[0]] or "")
+        want[r[own[1]], 1 - r[own[2]]].update(t[i : i + 5] for i in range(len(t) - 4))
+    symbols = {k: len({g[-1] for (a, _), c in want.items() if a == k for g in c}) for k, _ in want}
+    return want, symbols
 
 
-def test_model_is_unfolded_and_grows_with_the_corpus(spark):
+def test_model_is_unfolded_and_grows_with_the_corpus(spark, monkeypatch):
     random.seed(6)
     rows = [("".join(random.choices("\u4e00\u4e1aab19 $", k=150)), random.choice(["x", None])) for _ in range(40)] + [("99999$$$$$", "x"), (None, "x"), ("", "y")]
     docs = spark.createDataFrame(rows, "text string, lang string")
-    texts, own = kn.grouped_texts(docs, [], "text", "lang")
-    counted = kn.count_windows(texts, own)
-    want = defaultdict(Counter)
-    for r in texts.collect():
-        t = "\x02" * 4 + (r[own[0]] or "")
-        want[r[own[1]], 1 - r[own[2]]].update(t[i : i + 5] for i in range(len(t) - 4))
-    model = {(r.lang, r.gram): (r.p0, r.p1) for r in kn.window_logs(counted).collect()}
+    picked, own, logs = model_of(docs)
+    want, symbols = brute_model(picked, own)
+    model = {(r.lang, r.gram): (r.n, r.p0, r.p1) for r in logs.collect()}
     assert set(model) == {(k[0], g) for k, c in want.items() for g in c}
-    symbols = {k: len({g[-1] for (a, g) in model if a == k}) for k, _ in want}
     for name, g in random.sample(sorted(model), 60):
-        assert model[name, g] == pytest.approx([brute_window_p(want[name, j], g, symbols[name]) for j in (0, 1)], rel=1e-9)
+        n, *p = model[name, g]
+        assert n == want[name, 0][g] + want[name, 1][g]
+        assert p == pytest.approx([brute_window_p(want[name, j], g, symbols[name]) for j in (0, 1)], rel=1e-9)
     more = spark.createDataFrame([*rows, *[("".join(chr(random.randrange(0x4E00, 0x9FFF)) for _ in range(300)), "x") for _ in range(40)]], "text string, lang string")
-    texts, own = kn.grouped_texts(more, [], "text", "lang")
-    assert kn.count_windows(texts, own).select("lang", "gram").distinct().count() > len(model) + 11_000
+    assert model_of(more)[2].count() > len(model) + 11_000
+
+
+def test_blocks_and_held_counts_change_nothing(monkeypatch):
+    random.seed(7)
+    texts = ["".join(random.choices("abc d\u4e00", k=n)) for n in (0, 1, 700, 3, 90)]
+    padded, at, lengths = kn.padded_texts(texts)
+    owner, salt = np.repeat(np.arange(5), lengths), kn.salts(["x", "x", "y", "x", "y"])
+    monkeypatch.setattr(kn, "BLOCK", 64)
+    small = np.concatenate([h[ids] for _, h, _, ids in kn.blocks(padded, at, owner, salt)])
+    assert (small == kn.hashes(padded, at, salt[owner])).all()
+    keys = [(lang, ("\x02" * 4 + t)[i : i + 5]) for t, lang in zip(texts, "xxyxy") for i in range(len(t))]
+    assert len(set(zip(keys, small.tolist()))) == len(set(keys)) == len(set(small.tolist()))
+
+
+def brute_kept(rows, own, ids, *, above=2.5, below=6.0, above_piece=6.0):
+    """Figures by the definition, quartiles by rank."""
+    want, symbols = brute_model(rows, own)
+    out, memo = {}, {}
+
+    def log_p(lang, half, g):
+        if (lang, half, g) not in memo:
+            memo[lang, half, g] = math.log(brute_window_p(want[lang, half], g, symbols[lang]))
+        return memo[lang, half, g]
+
+    for i, r in zip(ids, rows.collect()):
+        t, lang = r[own[0]] or "", r[own[1]]
+        logs = [log_p(lang, r[own[2]], ("\x02" * 4 + t)[k : k + 5]) for k in range(len(t))]
+        n = max(1, len(t) // 128)
+        parts = defaultdict(list)
+        for k, x in enumerate(logs):
+            parts[k * n // len(t)].append(-x)
+        means = sorted(sum(x) / len(x) for x in parts.values()) or [0.0]
+        words, _, _, _, repeat = brute_counts(t)
+        out[i] = (lang, len(t), -sum(logs) / max(1, len(t)), means[n * 9 // 10], words < 20 or 100 * repeat > 30 * words)
+    bands = {}
+    for lang in {x[0] for x in out.values()}:
+        ok = [x for x in out.values() if x[0] == lang and not x[4]]
+        rank = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)] if v else 0.0
+        bands[lang] = [rank([x[k] for x in ok], q) for k in (2, 3) for q in (0.25, 0.75)] + [rank([x[1] for x in ok], 0.5)]
+    kept = {}
+    for i, (lang, size, whole, worst, failed) in out.items():
+        a, b, c, d, middle = bands[lang]
+        reach, reach_p = max(b - a, 0.01) * math.sqrt(max(1, middle / max(size, 1))), max(d - c, 0.01) * math.sqrt(max(1, 128 / max(size, 1)))
+        kept[i] = not failed and a - below * reach <= whole <= b + above * reach and worst <= d + above_piece * reach_p
+    return kept, out
+
+
+def test_verdicts_against_brute_force(spark):
+    random.seed(11)
+    words = ["".join(random.choices("etaoin\u00e9\u4e00", k=random.randint(2, 5))) for _ in range(60)]
+    speak = lambda n: " ".join(random.choices(words, k=n))
+    noise = lambda n: " ".join("".join(random.choices("bcdfgj01#", k=6)) for _ in range(n))
+    rows = [(i, speak(random.randint(15, 70)), random.choice(["x", "y", None])) for i in range(120)]
+    rows += [(200 + i, speak(20) + " " + noise(12), "x") for i in range(6)] + [(300, noise(60), "y"), (301, "ab " * 40, "x"), (302, None, "x"), (303, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked, own = kn.sources(docs, [], "text", "lang")
+    want, figures = brute_kept(picked, own, [r[0] for r in rows])
+    for hot in (0, 300, kn.HOT):  # where the line lies changes nothing
+        got = {r.doc_id: r.rules for r in kn.quality_rules(docs, hot=hot).collect()}
+        assert {k: r.kept for k, r in got.items()} == want
+        for k, r in got.items():
+            assert (r.log_ppl, r.log_ppl_piece) == pytest.approx(figures[k][2:4], abs=1e-5)
+    assert sorted(r.doc_id for r in kn.quality_rules(docs, only_kept=True).collect()) == sorted(k for k, v in want.items() if v)
+    assert 3 <= sum(not v for v in want.values()) < 40
+
+
+def test_hot_arrays_are_bounded(spark):
+    model = spark.range(1000).selectExpr("id AS key", "cast(1 + 1000 / (1 + id) AS bigint) AS n", "cast(id AS float) AS l0", "cast(-id AS float) AS l1")
+    for hot in (0, 5, 100, 999, 1000, 5000):
+        keys, values = kn.most_frequent(model, hot)
+        assert len(keys) <= hot and (np.diff(keys) > 0).all() and (values[0] == keys).all() and (values[1] == -keys).all()
+    assert len(kn.most_frequent(model, 1000)[0]) == 1000 and len(kn.most_frequent(model, 100)[0]) > 80
+
+
+def test_names_that_clash_and_very_long_texts(spark):
+    random.seed(12)
+    words = ["".join(random.choices("etaoin", k=random.randint(2, 6))) for _ in range(300)]
+    rows = [(i, " ".join(random.choices(words, k=60)), "x") for i in range(30)] + [(99, " ".join(random.choices(words, k=400_000)), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS _s", "2 AS _uid", "3 AS _text", "4 AS _of", "5 AS rules", "6 AS _r", "7 AS _lang", "8 AS _half")
+    out = kn.quality_rules(docs)
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == 31 and all((r._s, r._uid, r._text, r._of, r.rules, r._r, r._lang, r._half) == (1, 2, 3, 4, 5, 6, 7, 8) for r in got.values())
+    assert got[99][out.columns[-1]].n_words == 400_000 and got[99][out.columns[-1]].kept
 
 
 def test_production_bands_judge_the_whole_text(spark):
@@ -152,5 +199,5 @@ def test_production_bands_judge_the_whole_text(spark):
     got = {r.doc_id: r.rules for r in out.collect()}
     assert not any(got[k].kept for k in (900, 901, 902)), [got[k] for k in (900, 901, 902)]
     assert sum(got[k].kept for k in range(400)) >= 380
-    whole, piece = kn.figures(np.array([-1.0] * 256 + [-9.0] * 256 + [-2.0]), np.array([512, 0, 1]), 128)
+    whole, piece = kn.figures(np.array([-128.0, -128, -1152, -1152, -2]), np.array([128, 128, 128, 128, 1]), np.array([4, 0, 1]))
     assert whole.tolist() == [5, 0, 2] and piece.tolist() == [9, 0, 2]
