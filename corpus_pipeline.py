@@ -28,8 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie outside their language's perplexity bands go."""
-    out = kneser_ney.quality_rules(docs)
-    return out.filter(F.col(out.columns[-1])["kept"]).select(*docs.columns)
+    return kneser_ney.quality_rules(docs, only_kept=True).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
