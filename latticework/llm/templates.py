@@ -1,12 +1,16 @@
 """Main text of web pages by site template removal.
 
-Each page is parsed once into blocks of text. Every element, inside an article too, is hashed as a
-subtree (tags, classes and text); Spark counts in how many different pages of its host each subtree
+Each page is parsed once into blocks of text. Every element, and every box inside an article, is
+hashed as a subtree (tags, classes and text); Spark counts in how many different pages of its host each subtree
 occurs, and subtrees that recur are deleted with all they hold: in ``least`` pages, or in as many as
 the binary logarithm of the host's pages if that is more. What is never main text by its element,
 role or class goes in any case: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments.
 
+Within an article only boxes (``BOXES``) can be templates: its own paragraphs, headings and lists are
+main text however often they recur, as copied pages and quoted passages do. A page that would lose
+more than half of its article is a copy and keeps it.
+
 An ``article`` or ``main`` element is a hint only: where it holds half or more of what is left of
 the page, it is the main text alone, else all that is left is. Pages whose article (or, where that is
 the smaller part, whose whole text) is equal count once for a subtree, so copies of a page don't make
@@ -59,6 +63,7 @@ DROP_WORDS = frozenset(
     " comment comments commentlist disqus".split()
 )
 CONTENT = ("article", "main")
+BOXES = frozenset("div section details figure".split())  # what is counted within an article: not its prose
 BUCKETS = 1 << 20
 DEEPEST = 512  # elements below are siblings, as in browsers; all their text stays
 SPACE = re.compile(r"\s+")
@@ -72,7 +77,7 @@ class Node:
     own: bool  # within the page's own article
     inline: bool
     sign: str = ""
-    number: int = -1  # of its subtree, -1 if it isn't counted
+    number: int = -1  # of its subtree, -1 if it isn't counted by itself
     parts: list[str] = attribute(default_factory=list)
 
 
@@ -169,10 +174,11 @@ def parse(html: str) -> Page:
                 flush()
             node = stack.pop()
             there[node.tag] -= 1
-            if node.number >= 0:
+            if node.sign:
                 whole = f"{node.sign}{''.join(node.parts)}</>"
                 digest = xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass")) - (1 << 63)
-                subtrees[node.number][::2] = digest, len(blocks)
+                if node.number >= 0:
+                    subtrees[node.number][::2] = digest, len(blocks)
                 stack[-1].parts.append(f"{digest:x}")
             elif node.tag in INLINE:
                 node.parts.append("</>")
@@ -211,9 +217,10 @@ def parse(html: str) -> Page:
             node.parts = up.parts
             node.parts.append(f"<{tag}>")
         if not dropped and not inline and tag not in ("html", "body", "head"):
-            node.number = len(subtrees)
-            subtrees.append([0, len(blocks), 0])
             node.sign = f"<{tag} {attributes.get('class', '')}>"
+            if not up.own or tag in BOXES:
+                node.number = len(subtrees)
+                subtrees.append([0, len(blocks), 0])
         stack.append(node)
         there[tag] += 1
         if tag in RAW:
@@ -308,7 +315,8 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", carry: li
         name = f"_{name}"
     together = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
     kept = F.filter(r["blocks"], lambda _, i: ~F.coalesce(F.exists("_gone", lambda g: (g["first"] <= i) & (i < g["past"])), F.lit(False)))
-    mine, all_ = together(F.filter(kept, lambda b: b["own"])), together(kept)
+    whole_, mine, all_ = together(F.filter(r["blocks"], lambda b: b["own"])), together(F.filter(kept, lambda b: b["own"])), together(kept)
+    mine = F.when(2 * F.length(mine) < F.length(whole_), whole_).otherwise(mine)
     text = F.when(2 * F.length(mine) >= F.length(all_), mine).otherwise(all_)
     cols = [F.col(c) for c in carry]
     return whole.select(*cols, text.alias(name)).unionByName(dealt.select(*cols, text.alias(name)))

@@ -119,3 +119,15 @@ def test_names_alone_do_not_drop_main_text(start, around):
     assert text_of(f"<{around}><p>a</p><{start}>kept</{tag}><div class='x advert'>Buy</div><p>b</p></{around}>") == "a\n\nkept\n\nb"
     if "ad-hoc" not in start:
         assert text_of(f"<div><{start}>kept</{tag}></div>") == "kept"
+
+
+def test_prose_of_articles_stays_however_often_it_recurs(spark):
+    passage = "<p>A passage that many stories quote</p><ul><li>and a list</li></ul>"
+    rows = [(i, *site("six.example", i, f"<h1>Story {i}</h1>{passage}<section class=more><p>More from us</p></section><p>It ends {i}</p>", True)) for i in range(40)]
+    rows += [(100 + i, *site("six.example", 100 + i, f"<div class=text><p>One long text in a box that all copies of it have</p></div><p>Edit {i}</p>", True)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in tp.extract(df).collect()}
+    assert all(got[i] == f"Story {i}\n\nA passage that many stories quote\n\nand a list\n\nIt ends {i}" for i in range(40))
+    assert all(got[100 + i] == f"One long text in a box that all copies of it have\n\nEdit {i}" for i in range(40))
+    off = {r.page_id: r.text for r in tp.extract(df, least=10**9).collect()}
+    assert off[0] == "Story 0\n\nA passage that many stories quote\n\nand a list\n\nMore from us\n\nIt ends 0"
