@@ -6,18 +6,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 
-def _stars(edges: DataFrame, *, large: bool) -> DataFrame:
+SHARE = 1 << 12  # a node with more than this part of all edges is a hub; there are at most twice as many
+
+
+def _stars(edges: DataFrame, n: int, *, large: bool) -> DataFrame:
     """Link neighbours of each node to the smallest of them and it: the larger ones of a large star
-    (edges both ways), all smaller ones of a small star."""
+    (edges both ways), all smaller ones of a small star. ``n``: how many edges there are.
+
+    The edges of hubs never come together: their smallest neighbours, a table of bounded size, are
+    broadcast to where the edges lie. All other nodes have too few edges to weigh on a task."""
     if large:
         edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "at")
-    joined = edges.join(least, F.col("a") == F.col("at"))  # a hub's rows are split by adaptive execution
+    least = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree")).withColumnRenamed("a", "at")
+    hubs = F.broadcast(least.filter(F.col("degree") * SHARE > n).select("at", "m"))
+    at = F.col("a") == F.col("at")
+    few = edges.join(hubs, at, "left_anti").join(least.filter(F.col("degree") * SHARE <= n).select("at", "m").hint("merge"), at)
+    joined = edges.join(hubs, at).unionByName(few)
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -35,8 +44,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _sum(edges)
     while before[0]:
-        edges = materialise(_stars(_stars(edges, large=True), large=False), "edges")
+        larger = materialise(_stars(edges, before[0], large=True), "edges")
+        n = larger.count()
+        old, edges = edges, materialise(_stars(larger, n, large=False), "edges")
         now = _sum(edges)
+        forget(old, larger)
         if now == before:
             break
         before = now

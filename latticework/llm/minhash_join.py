@@ -12,7 +12,8 @@
 
 Nothing is emitted by pairs: rows out of buckets and components grow with their members. A bucket
 or component beyond a block is spread over tasks by pairs of blocks, so a hot group stays whole and
-no task holds more than two blocks.
+no task holds more than two blocks; each of its members is sent once for every block of the group.
+Equal texts are one member, however many documents have them.
 
 Words are what ASCII white space separates. A text of fewer than five words is one shingle; texts
 without words (null and empty ones included) link to nothing. Null and repeated document ids are
@@ -311,21 +312,23 @@ def roots_of(n: int, links: list[tuple[int, np.ndarray]]) -> np.ndarray:
             return label
 
 
-def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, *, key: str, text: str) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, *, text: str) -> DataFrame:
     """``cid, root, links`` for each member and pair of blocks: its local root among verified links
     and how many documents it links to in other classes."""
-    members = candidates.join(classes.drop("sig"), F.col("node") == F.col("cid")).select("cid", "id", "digest", "copies", "n", F.col("root").alias("comp"))
+    members = candidates.join(classes.drop("sig"), F.col("node") == F.col("cid")).select("cid", "digest", "copies", "n", F.col("root").alias("comp"))
     members = materialise(members, "members")
     size = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("all_n")).withColumnRenamed("comp", "of")
-    dealt = members.join(size, F.col("comp") == F.col("of")).select("comp", "cid", "id", "digest", "copies", F.greatest(F.ceil(F.col("m") / DOCS_BLOCK), F.ceil(F.col("all_n") / SHINGLES_BLOCK)).alias("blocks"))
+    dealt = members.join(size, F.col("comp") == F.col("of")).select("comp", "cid", "digest", "copies", F.greatest(F.ceil(F.col("m") / DOCS_BLOCK), F.ceil(F.col("all_n") / SHINGLES_BLOCK)).alias("blocks"))
     # texts whose digest falls in no member's bucket are left out before the shuffle; the table of
     # buckets has ``TEXT_BUCKETS`` rows at most, however many members there are
     bucket = lambda digest: F.pmod(F.xxhash64(digest), F.lit(TEXT_BUCKETS)).cast("int")
     used = members.select(bucket(F.col("digest")).alias("_b")).distinct()
-    bodies = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.unhex(F.md5(F.col(text))).alias("_digest"))
+    bodies = docs.select(F.col(text).alias("_text"), F.unhex(F.md5(F.col(text))).alias("_digest"))
     bodies = bodies.join(F.broadcast(used), bucket(F.col("_digest")) == F.col("_b"), "left_semi")
+    # equal texts become one in each task before they are dealt out, so copies never come together
+    bodies = bodies.groupBy("_digest").agg(F.first("_text").alias("text"))
     # a sorted join at every size: the members grow with the corpus, so they are never broadcast
-    joined = bodies.join(dealt.hint("merge"), F.col("_key").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))).select("comp", "cid", "copies", "blocks", F.col("_text").alias("text"))
+    joined = bodies.join(dealt.hint("merge"), F.col("_digest") == F.col("digest")).select("comp", "cid", "copies", "blocks", "text")
     spread = block_pairs(joined, "cid", F.col("blocks")).select("comp", "pair", "own", "across", "cid", "copies", "text")
 
     def verify(tables):
@@ -333,8 +336,7 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, *, key:
             out = []
             all_cid, all_copies, all_own, texts = t["cid"].to_numpy(), t["copies"].to_numpy(), t["own"].to_numpy(), t["text"]
             for lo, hi in bounds(t, ("comp", "pair")):
-                _, first = np.unique(all_cid[lo:hi], return_index=True)  # a row may be there twice
-                at = lo + first
+                at = np.arange(lo, hi)
                 cid, copies = all_cid[at], all_copies[at]
                 h, n = shingles([texts[int(i)].as_py() for i in at])
                 sets = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
@@ -360,7 +362,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: lis
     f = prints.columns[-1]
     classes = classes_of(prints, f)
     candidates = components(candidate_edges(classes))
-    found = materialise(verified(docs, classes, candidates, key=key, text=text), "verified")
+    found = materialise(verified(docs, classes, candidates, text=text), "verified")
     final = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy(F.col("cid").alias("of")).agg(F.sum("links").alias("links"))
     slim = classes.select("cid", "id", "digest", "copies")
