@@ -6,14 +6,15 @@ Forward-backward gives each word's posterior, and a document's language is the o
 mean posterior over its words, weighted by their letters. So code-switched text is labelled word by
 word, and the document by what most of it is written in.
 
-Training takes at most ``per_language`` labelled documents of each language, those with the smallest
-hash of the id; they are read whole. Their words carry the document's label, and stretches of
-documents of different languages are spliced so that transitions are seen. Everything else covers
-all rows.
+Training takes at most ``per_language`` different labelled documents of each language, those with the
+smallest hash of id and text, of at most ``most_languages`` languages, those with the most rows; they
+are read whole. Their words carry the document's label, and stretches of documents of different
+languages are spliced so that transitions are seen. Everything else covers all rows.
 
-Long texts are handled in chains of 256 words, all words of the text included.
+A text is one chain, however long. Chains of a batch go side by side, and long ones in stretches
+whose transfer matrices tell each stretch what lies before and behind it.
 
-Words are runs of letters (Unicode), lower-cased; other signs part them. A text that is null or has
+Words are runs of letters (Unicode categories L), lower-cased; other signs part them. A text that is null or has
 no letters is ``und`` with score 0. Rows are judged one by one, so ties, repeated rows and null ids
 stay; without any labelled row every document is ``und``.
 """
@@ -26,13 +27,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import field, map_batches, own_name, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    words = WORD.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    # numbers that aren't digits (as \u00bd) are word signs to the pattern, but no letters
+    return [w for x in words for w in "".join([c if c.isalpha() else " " for c in x]).split()]
+
+
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 
@@ -105,9 +116,10 @@ class Scores:
         return self.table[np.array(ids, np.int64)]
 
 
-def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, *, count: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, *, count: bool = False, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of all words of all sequences (one after the other in ``emit``), and if asked for
-    the expected transitions. Sequences go side by side, longest first, so that step t needs a prefix of them."""
+    the expected transitions. Sequences go side by side, longest first, so that step t needs a prefix
+    of them. ``before`` and ``behind`` weigh each sequence's first and last label by what is around it."""
     n, k = emit.shape
     e = np.exp(emit - emit.max(1, keepdims=True)).astype(np.float64)
     m = np.exp(trans - trans.max())
@@ -120,14 +132,14 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, *
     a = None
     for t in range(steps):
         at = begin[: live[t]] + t
-        a = e[at] if t == 0 else (a[: live[t]] @ m) * e[at]
+        a = (e[at] if before is None else e[at] * before[by]) if t == 0 else (a[: live[t]] @ m) * e[at]
         a /= a.sum(1, keepdims=True)
         alpha[at] = a
     pairs = np.zeros((k, k))
     b = np.zeros((0, k))
     for t in range(steps - 1, -1, -1):
         more = live[t + 1] if t + 1 < steps else 0
-        new = np.full((live[t], k), 1.0 / k)
+        new = np.full((live[t], k), 1.0 / k) if behind is None else behind[by[: live[t]]]
         if more:
             right = b[:more] * e[begin[:more] + t + 1]
             new[:more] = right @ m.T
@@ -141,27 +153,66 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, *
     return post / post.sum(1, keepdims=True), pairs
 
 
-def chains(lengths: np.ndarray, most: int = 256) -> np.ndarray:
-    """Chain lengths: every text in chains of ``most`` words, the last one shorter."""
-    n = -(-lengths // most)
-    out = np.full(int(n.sum()), most, np.int64)
+STRETCH = 256
+
+
+def stretches(lengths: np.ndarray) -> np.ndarray:
+    """Lengths of the stretches of ``STRETCH`` words, the last one of a text shorter."""
+    n = -(-lengths // STRETCH)
+    out = np.full(int(n.sum()), STRETCH, np.int64)
     some = lengths > 0
-    out[np.cumsum(n)[some] - 1] = lengths[some] - (n[some] - 1) * most
+    out[np.cumsum(n)[some] - 1] = lengths[some] - (n[some] - 1) * STRETCH
     return out
 
 
+def posteriors(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """What ``forward_backward`` gives for whole texts, in few steps however long a text is: each
+    stretch's transfer matrix carries the forward weights on to the next and the backward weights
+    to the one before, then all stretches go side by side."""
+    k, n, cut = emit.shape[1], -(-lengths // STRETCH), stretches(lengths)
+    before, behind = np.ones((len(cut), k)), np.full((len(cut), k), 1.0 / k)
+    many = np.flatnonzero(n > 1)
+    if len(many):
+        e, m = np.exp(emit - emit.max(1, keepdims=True)).astype(np.float64), np.exp(trans - trans.max())
+        top, begin = np.cumsum(n) - n, np.cumsum(cut) - cut
+        need = np.concatenate([np.arange(top[i], top[i] + n[i]) for i in many])
+        need = need[np.argsort(-cut[need], kind="stable")]
+        at = np.zeros(len(cut), np.int64)
+        at[need] = np.arange(len(need))
+        x = np.repeat(np.eye(k)[None], len(need), 0)
+        first = np.isin(need, top[many])
+        for t in range(int(cut[need[0]])):
+            here = int(np.searchsorted(-cut[need], -t, "left"))  # stretches with a word t
+            step = x[:here] @ m
+            if t == 0:
+                step[first[:here]] = np.eye(k)  # no transition leads to a text's first word
+            step *= e[begin[need[:here]] + t][:, None, :]
+            x[:here] = step / step.sum((1, 2), keepdims=True)
+        ahead, back = np.ones((len(n), k)), np.full((len(n), k), 1.0 / k)
+        for j in range(int(n.max()) - 1):
+            live = many[n[many] > j + 1]
+            v = (ahead[live][:, None, :] @ x[at[top[live] + j]])[:, 0]
+            ahead[live] = v / v.sum(1, keepdims=True)
+            before[top[live] + j + 1] = ahead[live] @ m
+        for j in range(int(n.max()) - 1, 0, -1):
+            live = many[n[many] > j]
+            v = (x[at[top[live] + j]] @ back[live][:, :, None])[:, :, 0]
+            back[live] = behind[top[live] + j - 1] = v / v.sum(1, keepdims=True)
+    return forward_backward(emit, cut, trans, before=before, behind=behind)[0]
+
+
 class Model:
     def __init__(self, langs: list[str], weights: np.ndarray, trans: np.ndarray) -> None:
         self.langs, self.trans = langs, trans
         self.scores = Scores(weights)
 
     def posteriors(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray]:
-        words = [WORD.findall(t.lower()) for t in texts]
+        words = [words_of(t) for t in texts]
         flat = [w for ws in words for w in ws]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         if not flat:
             return words, np.zeros((0, len(self.langs)))
-        return words, forward_backward(self.scores.of(flat), chains(lengths), self.trans)[0]
+        return words, posteriors(self.scores.of(flat), lengths, self.trans)
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         words, post = self.posteriors(texts)
@@ -183,7 +234,7 @@ def sequences(rows: list[tuple[str, str]], langs: list[str], seed: int, stretch:
     rng = np.random.default_rng(seed)
     parts = []
     for text, lang in rows:
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         parts += [(words[i : i + stretch], langs.index(lang)) for i in range(0, len(words), stretch)]
     order = rng.permutation(len(parts)).tolist()
     for k, i in enumerate(order):
@@ -232,24 +283,29 @@ def train(rows: list[tuple[str, str]], *, epochs: int = 2, batch: int = 256, rat
     return Model(langs, weights, trans)
 
 
-def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 200) -> Model | None:
-    """Train on at most ``per_language`` rows of each language, whole texts, smallest hash first."""
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(lang)).alias("h"))
+def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 200, most_languages: int = 256) -> Model | None:
+    """Train on at most ``per_language`` different rows of each language, whole texts, smallest hash
+    first, of at most ``most_languages`` languages, those with the most rows. No more than that many
+    rows come to the driver, whatever ids are null or repeated."""
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(lang), F.col(text)).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("different")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     # hashes are even, so a threshold from the counts lets through about twice what is wanted
-    total = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
-    share = {lang: min(1.0, 2 * (per_language + 50) / n) for lang, n in total.items()}
+    share = {r.lang: min(1.0, 2 * (per_language + 50) / max(1, r.different)) for r in counts}
     taken: list[tuple[str, str]] = []
     while share:
         limits = [(F.col("lang") == lang) & (F.col("h") <= F.lit(min(int(x * (1 << 64)) - (1 << 63), (1 << 63) - 1))) for lang, x in share.items()]
+        # equal rows become one in each task before they meet
+        few = rows.filter(reduce(Column.__or__, limits)).groupBy("lang", "h").agg(F.first("text").alias("text"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
         found: dict[str, list] = {lang: [] for lang in share}
-        for r in rows.filter(reduce(Column.__or__, limits)).toLocalIterator():
+        for r in few.withColumn("at", place).filter(F.col("at") <= per_language).toLocalIterator():
             found[r.lang].append((r.h, r.text))
         for lang, got in found.items():
-            if len(got) >= min(per_language, total[lang]):
-                taken += [(text, lang) for _, text in sorted(got)[:per_language]]
+            if len(got) >= per_language or share[lang] >= 1:
+                taken += [(text, lang) for _, text in sorted(got)]
                 del share[lang]
             else:
-                share[lang] = min(1.0, 2 * share[lang])
+                share[lang] = min(1.0, 4 * share[lang])
     return train(taken)
 
 

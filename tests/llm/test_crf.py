@@ -51,7 +51,7 @@ def test_code_switched_words_and_documents(spark):
     assert np.mean([a == b for a, b in zip(words[1], ["aa"] * 30 + ["cc"] * 10)]) > 0.95
     got = {r.doc_id: r.language for r in crf.identify(mixed, model).collect()}
     assert got[1].lang == "aa" and 0.6 < got[1].score < 0.9 and got[2].lang == "bb"
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !"), (None, "ABCDEF"), (5, "x" * 100_000), (5, "x" * 100_000)], "doc_id long, text string").withColumn("language", F.lit(1))
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 ! ½ ²"), (None, "ABCDEF"), (5, "x" * 100_000), (5, "x" * 100_000)], "doc_id long, text string").withColumn("language", F.lit(1))
     out = crf.identify(odd, model)
     got = [(r.doc_id, r[out.columns[-1]]) for r in out.collect()]
     assert [g.lang for k, g in got if k in (1, 2, 3)] == ["und"] * 3 and len(got) == 6
@@ -65,3 +65,30 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     held = [r.lang == r.lang_pred for r in out if r.held_out and r.lang]
     assert len(out) == docs.count() and np.mean(held) > 0.99
+
+
+def test_stretches_give_what_whole_chains_give():
+    rng = np.random.default_rng(4)
+    for k in (1, 3, 5):
+        lengths = np.array([0, 1, 255, 256, 257, 512, 513, 3000, 2, 0, 700])
+        emit, trans = rng.normal(size=(int(lengths.sum()), k)) * 0.3, rng.normal(size=(k, k)) * 2
+        assert crf.posteriors(emit, lengths, trans) == pytest.approx(crf.forward_backward(emit, lengths, trans)[0], abs=1e-9)
+    assert crf.posteriors(np.zeros((0, 3)), np.array([0, 0]), np.zeros((3, 3))).shape == (0, 3)
+
+
+def test_words_are_letters():
+    assert crf.words_of("a½b ² Ⅷ x_y 3z ñÉ 中文 ①") == ["a", "b", "x", "y", "z", "ñé", "中文"]
+
+
+def test_what_comes_to_the_driver_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(crf, "train", lambda rows: seen.append(rows))
+    same = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('text ', id) AS text", "'aa' AS lang")
+    equal = spark.range(20_000).selectExpr("7L AS doc_id", "'one text' AS text", "'bb' AS lang")
+    more = spark.range(5).selectExpr("id AS doc_id", "concat('rare ', id) AS text", "concat('l', id) AS lang")
+    docs = same.unionByName(equal).unionByName(more)
+    crf.fit(docs, per_language=200)
+    by = {lang: [t for t, x in seen[0] if x == lang] for _, lang in seen[0]}
+    assert len(by["aa"]) == len(set(by["aa"])) == 200 and by["bb"] == ["one text"] and all(len(by[f"l{i}"]) == 1 for i in range(5))
+    crf.fit(docs, per_language=200, most_languages=2)
+    assert {lang for _, lang in seen[1]} == {"aa", "bb"}
