@@ -33,6 +33,12 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.lifecycle(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), store)
 
 
+def rollup_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same life of a rollup over tokenizers that SQL can express."""
+    store = rollup.RollupStore(spark, scratch(spark, "rollup"))
+    return rollup.lifecycle(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), store, count=rollup.word_counts)
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.digests(read_table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"])
 
@@ -75,19 +81,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fm_index": op9_fm_index,
     "op10_minhash_join": op10_minhash_join,
+    "rollup_of_words": rollup_of_words,
 }
 
 _SIGNS = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]"
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_token_rollup": rf"""
+    "rollup_of_words": rf"""
         WITH live AS (
-            SELECT source, lang, coalesce(text, '') AS text FROM documents
+            SELECT source, lang, regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g') AS text FROM documents
             WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
         ), counted AS (
             SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM live
             UNION ALL
-            SELECT source, lang, 'signs-1', len(regexp_extract_all(regexp_replace(text, '[#*$%&|<>]', '', 'g'), '{_SIGNS}')) FROM live
+            SELECT source, lang, 'signs-1', len(regexp_extract_all(text, '{_SIGNS}')) FROM live
         )
         SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
         FROM counted GROUP BY source, lang, tokenizer""",

@@ -6,9 +6,11 @@ adds the new one. Each batch is summed by key before it is written, so the store
 not with documents; totals are the sum over committed batches, in any order.
 
 Commits are idempotent. A batch's sums go to a folder of their own attempt, then one marker file,
-created only if it isn't there, names the attempt that counts. A batch committed twice, by a retry
-or by two writers, counts once, and an attempt without its marker counts never. ``compact`` folds
-all committed batches into one that remembers their names.
+written aside and renamed to its name only if that is free, names the attempt that counts. A batch
+committed twice, by a retry or by two writers, counts once, and an attempt without its marker counts
+never. ``compact`` folds all committed batches into one that remembers their names, under a new
+marker, so that no crash loses one; ``vacuum`` deletes what no marker names once it is old enough
+that no reader or writer uses it.
 
 Null keys are groups of their own; null counts add no tokens but the document counts. Empty batches
 commit. A store without batches has no rows. Hot keys are summed within tasks first.
@@ -16,14 +18,20 @@ commit. A store without batches has no rows. Hot keys are summed within tasks fi
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import filesystem
+from .bpe import library_encoder, rank_encoder
+from .common import field, filesystem, map_batches, materialise, own_name, texts_of, tokenizer_file
 
 KEYS = ("source", "lang", "tokenizer")
 
@@ -35,50 +43,65 @@ class RollupStore:
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
 
     def _marker(self, batch: str) -> str:
-        if not batch or any(c in batch for c in "/\\:"):
+        if not batch or batch[0] in "~._" or any(c in batch for c in "/\\:"):
             raise ValueError(f"not a batch name: {batch!r}")
         return f"{self.path}/commits/{batch}"
 
     def _read(self, path: str) -> str | None:
         fs, p = filesystem(self.spark, path)
-        if not fs.exists(p):
+        try:
+            stream = fs.open(p)
+        except Py4JJavaError:
+            if fs.exists(p):
+                raise
             return None
-        stream = fs.open(p)
         try:
             return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
-    def _create(self, path: str, content: str, *, over: bool = False) -> bool:
-        """Whether this call made the file."""
+    def _aside(self, content: str) -> str:
+        """A file of this content under a name that readers skip."""
+        path = f"{self.path}/commits/.{uuid.uuid4().hex}"
         fs, p = filesystem(self.spark, path)
+        stream = fs.create(p, False)
+        stream.write(bytearray(content.encode()))
+        stream.close()
+        return path
+
+    def _publish(self, path: str, content: str) -> bool:
+        """Whether this call made the file. It is there with all its content or not at all."""
+        aside = self._aside(content)
+        jvm = self.spark._jvm
+        fs, source = filesystem(self.spark, aside)
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        never_over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        never_over[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
         try:
-            stream = fs.create(p, over)
-        except Py4JJavaError as e:
-            if "AlreadyExists" in str(e.java_exception.getClass().getName()) or fs.exists(p):
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, never_over)
+        except Py4JJavaError:
+            fs.delete(source, False)
+            if fs.exists(target):
                 return False
             raise
-        stream.write(bytearray(content.encode()))
-        stream.close()
         return True
 
     def committed(self) -> dict[str, str]:
-        """The attempt that counts for each committed batch."""
+        """Each marker that counts and its content: the attempt, and the batches folded into it."""
         fs, p = filesystem(self.spark, f"{self.path}/commits")
-        if not fs.exists(p):
-            return {}
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile())
-        found = {n: self._read(f"{self.path}/commits/{n}") for n in names if not n.startswith((".", "_"))}
-        live = {n: a for n, a in found.items() if a}  # an empty marker is a writer that died
-        covered = {x for a in live.values() for x in a.split("\n")[1:]}
-        return {n: a for n, a in live.items() if n not in covered}
+        while fs.exists(p):
+            names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile())
+            found = {n: self._read(f"{self.path}/commits/{n}") for n in names if not n.startswith((".", "_"))}
+            if None in found.values():
+                continue  # a compaction went on meanwhile
+            folded = {x for a in found.values() for x in a.split("\n")[1:]}
+            return {n: a for n, a in found.items() if n not in folded}
+        return {}
 
     def covered(self) -> set[str]:
         """Names of all batches that count, compacted ones included."""
-        out = set()
-        for name, content in self.committed().items():
-            out |= set(content.split("\n")[1:]) | {name}
-        return out
+        names = {x for name, content in self.committed().items() for x in [name, *content.split("\n")[1:]]}
+        return {x for x in names if not x.startswith("~")}
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add ``changes`` (keys, ``docs``, ``tokens``, both signed); False if the batch is there
@@ -88,12 +111,11 @@ class RollupStore:
             return False
         attempt = uuid.uuid4().hex
         self._write(attempt, changes)
-        made = self._create(marker, attempt)
-        if not made and not self._read(marker):
-            made = self._create(marker, attempt, over=True)
-        if not made:
-            self._drop(attempt)
-        return made
+        # a compaction may have folded the batch of another writer, whose marker is gone then
+        if batch not in self.covered() and self._publish(marker, attempt):
+            return True
+        self._drop(attempt)
+        return False
 
     def _write(self, attempt: str, changes: DataFrame) -> None:
         sums = changes.groupBy(*self.keys).agg(F.sum("docs").cast("bigint").alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens"))
@@ -114,24 +136,33 @@ class RollupStore:
         return out if zero else out.filter("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self) -> str | None:
-        """Fold all committed batches into one; readers see the old state or the new one. One
-        compaction at a time; commits may go on meanwhile."""
+        """Fold all committed batches into one; readers see the old state or the new one, and what
+        they have planned to read stays until ``vacuum``. One compaction at a time; commits may go on
+        meanwhile."""
         old = self.committed()
         if len(old) < 2:
             return None
-        attempt, names = uuid.uuid4().hex, sorted({n for c in old.values() for n in c.split("\n")[1:]} | set(old))
-        paths = [f"{self.path}/deltas/{c.split(chr(10))[0]}" for c in old.values()]
-        self._write(attempt, self.spark.read.parquet(*paths))
-        # the largest old name takes the new content at once; the others go next. Until they are
-        # gone readers would count twice, so they skip what another marker covers
-        keep = max(old)
-        self._create(self._marker(keep), "\n".join([attempt, *[n for n in names if n != keep]]), over=True)
-        for name, content in old.items():
-            if name != keep:
-                fs, p = filesystem(self.spark, self._marker(name))
-                fs.delete(p, False)
-            self._drop(content.split("\n")[0])
-        return keep
+        attempt, name = uuid.uuid4().hex, f"~{uuid.uuid4().hex}"
+        self._write(attempt, self.spark.read.parquet(*[f"{self.path}/deltas/{c.split(chr(10))[0]}" for c in old.values()]))
+        folded = sorted({x for n, c in old.items() for x in [n, *c.split("\n")[1:]]})
+        self._publish(f"{self.path}/commits/{name}", "\n".join([attempt, *folded]))
+        # from here on the new marker covers the old ones, whether they are there or not
+        for n in old:
+            fs, p = filesystem(self.spark, f"{self.path}/commits/{n}")
+            fs.delete(p, False)
+        return name
+
+    def vacuum(self, older_than: float = 7 * 24 * 3600) -> int:
+        """Delete attempts and files aside that no marker names and that were made more than
+        ``older_than`` seconds ago; how many."""
+        live = {c.split("\n")[0] for c in self.committed().values()}
+        gone = 0
+        for folder, old in (("deltas", lambda n: n not in live), ("commits", lambda n: n.startswith("."))):
+            fs, p = filesystem(self.spark, f"{self.path}/{folder}")
+            for s in fs.listStatus(p) if fs.exists(p) else []:
+                if old(s.getPath().getName()) and s.getModificationTime() <= (time.time() - older_than) * 1000:
+                    gone += bool(fs.delete(s.getPath(), True))
+        return gone
 
 
 def inserts(rows: DataFrame, tokenizer: str, count: Column, *, source: str = "source", lang: str = "lang", sign: int = 1) -> DataFrame:
@@ -149,37 +180,66 @@ def revisions(rows: DataFrame, tokenizer: str, before: Column, after: Column, *,
     return rows.select(F.col(source).alias("source"), F.col(lang).alias("lang"), F.lit(tokenizer).alias("tokenizer"), F.lit(0).cast("bigint").alias("docs"), delta.cast("bigint").alias("tokens"))
 
 
-# Tokenizers that SQL can express; any column that counts a row's tokens will do.
-def words(text: Column) -> Column:
-    """Words between ASCII white space."""
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-
-
-def signs(text: Column) -> Column:
-    """Words and single signs: runs of ASCII letters and digits or of other characters beyond
-    ASCII, and every other ASCII character but white space on its own."""
-    return F.regexp_count(text, F.lit(r"[A-Za-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]"))
-
-
-def lifecycle(docs: DataFrame, labels: DataFrame, store: RollupStore) -> DataFrame:
-    """A corpus's life in batches: all documents come in under two tokenizer versions, labelled
-    toxic ones are taken down, the second version is revised for texts with markup signs (they are
-    stripped before counting), and every batch is sent twice."""
-    text = F.col("text")
-    stripped = F.regexp_replace(text, r"[#*$%&|<>]", "")
-    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
-    # counted before the join, so that numbers are dealt out and not texts; an inner join with
-    # distinct ids, as the optimizer would push a semi join below the counting
-    down = docs.select("doc_id", "source", "lang", words(text).alias("_w"), signs(stripped).alias("_s")).join(toxic, "doc_id")
-    marked = docs.filter(text.rlike(r"[#*$%&|<>]"))
+SIGNS = r"[#*$%&|<>]"
+
+
+def bpe_counts(docs: DataFrame, *, versions: dict[str, str | None] | None = None, text: str = "text") -> DataFrame:
+    """``doc_id, source, lang, counts``: for each tokenizer version the tokens of the whole text and,
+    where it has markup signs, of the text without them. ``versions`` names the vocabulary files
+    (by default the two public byte-level ones). Every text is read and encoded in one pass."""
+    files = {k: v or tokenizer_file(k) for k, v in (versions or {"byte_bpe_50k.json": None, "byte_bpe_multi_50k.tiktoken": None}).items()}
+    kinds = "array<struct<tokenizer:string,n:bigint,stripped:bigint>>"
+    own = own_name(docs.select("doc_id", "source", "lang"), "_text")
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["source"], docs.schema["lang"], field("counts", kinds)])
+    kind = to_arrow_schema(schema).field("counts").type
+
+    def run(batches):
+        encoders = {k: rank_encoder(f)[0] if f.endswith(".tiktoken") else library_encoder(f) for k, f in files.items()}
+        for b in batches:
+            texts = texts_of(b, own)
+            marked = [i for i, t in enumerate(texts) if re.search(SIGNS, t)]
+            stripped = [re.sub(SIGNS, "", texts[i]) for i in marked]
+            out: list[list[dict]] = [[] for _ in texts]
+            for name, encoder in encoders.items():
+                n = [len(x) // 4 for x in encoder.encode(texts)]
+                less = dict(zip(marked, [len(x) // 4 for x in encoder.encode(stripped)], strict=True))
+                for i, mine in enumerate(out):
+                    mine.append({"tokenizer": name, "n": n[i], "stripped": less.get(i)})
+            yield [*[b.column(i) for i in range(3)], pa.array(out, kind)]
+
+    return map_batches(docs.select("doc_id", "source", "lang", F.col(text).alias(own)), run, schema, limit=2 << 20, text=own)
+
+
+def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """The same of two tokenizers that SQL can express: words between ASCII white space; and runs of
+    ASCII letters and digits or of other characters beyond ASCII, and single other signs."""
+    patterns = {"words-1": r"[^\x20\x09-\x0D]+", "signs-1": r"[A-Za-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]"}
+    t = F.coalesce(F.col(text), F.lit(""))
+    less = F.when(t.rlike(SIGNS), F.regexp_replace(t, SIGNS, ""))
+    n = lambda x, p: F.regexp_count(x, F.lit(p)).cast("bigint")
+    return docs.select("doc_id", "source", "lang", F.array(*[F.struct(F.lit(k).alias("tokenizer"), n(t, p).alias("n"), n(less, p).alias("stripped")) for k, p in patterns.items()]).alias("counts"))
+
+
+def lifecycle(docs: DataFrame, labels: DataFrame, store: RollupStore, *, count: Callable[[DataFrame], DataFrame] = bpe_counts) -> DataFrame:
+    """A corpus's life in batches: all documents come in under each tokenizer version, counts of
+    texts with markup signs are revised to those without, labelled toxic documents are taken down,
+    the store is compacted, and every batch is sent twice.
+
+    Texts are counted once and the counts written down, summed by document id, so that a repeated id
+    is one row in the join that takes documents down."""
+    each = count(docs).select("doc_id", "source", "lang", F.explode("counts").alias("c")).select("doc_id", "source", "lang", F.col("c.tokenizer").alias("tokenizer"), F.col("c.n").alias("n"), F.coalesce("c.stripped", "c.n").alias("last"))
+    counts = materialise(each.groupBy("doc_id", "source", "lang", "tokenizer").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.sum("last").alias("last")), "counted")
+    toxic = labels.filter("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+    down = counts.join(toxic.hint("merge"), F.col("doc_id") == F.col("id"))
+    change = lambda rows, docs_, tokens: rows.select("source", "lang", "tokenizer", docs_.cast("bigint").alias("docs"), tokens.cast("bigint").alias("tokens"))
     batches = {
-        "0001-words": inserts(docs, "words-1", words(text)),
-        "0002-signs": inserts(docs, "signs-1", signs(text)),
-        "0003-revised": revisions(marked, "signs-1", signs(text), signs(stripped)),
-        "0004-taken-down": deletes(down, "words-1", F.col("_w")).unionByName(deletes(down, "signs-1", F.col("_s"))),
+        "0001-inserted": change(counts, F.col("docs"), F.col("n")),
+        "0002-revised": change(counts.filter("n <> last"), F.lit(0), F.col("last") - F.col("n")),
+        "0003-taken-down": change(down, -F.col("docs"), -F.col("last")),
     }
-    for name, changes in batches.items():
-        store.commit(name, changes)
-    for name, changes in batches.items():
-        store.commit(name, changes)
+    for again in (False, True):
+        for name, changes in batches.items():
+            store.commit(name, changes)
+        if not again:
+            store.compact()
     return store.totals()
