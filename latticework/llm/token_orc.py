@@ -6,7 +6,8 @@ are what Spark splits files by, so one large file is read by many tasks.
 
 Each row holds its place within its file; the start over all files is that plus the totals of the
 files before, of which there are as many as partitions. Null texts count as empty and hold the end
-id only. Rows with equal ids keep one order (by a hash of the text); null ids come first. Columns
+id only. Rows with equal ids keep one order (by a hash of the text) and may lie in several files, so
+one id with very many rows doesn't weigh on a task; null ids come first. Columns
 other than ``key`` and ``text`` are not read.
 """
 
@@ -30,8 +31,10 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id:
     """Encode every text, append ``end_id`` and write ``key, part, at, n_tokens, ids`` as ORC."""
     file = vocabulary or tokenizer_file("byte_bpe_50k.json")
     kind = docs.schema[key].dataType
-    ordered = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias(f"{key}_{text}_order")).repartitionByRange(F.col(key))
-    ordered = ordered.sortWithinPartitions(key, f"{key}_{text}_order").select(key, text)
+    # ranges end within a repeated or null id too, by the text's hash and the row's place
+    order = [key, f"{key}_{text}_order", f"{key}_{text}_row"]
+    ordered = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias(order[1]), F.monotonically_increasing_id().alias(order[2]))
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order).select(key, text)
     end = np.array([end_id], "<i4").tobytes()
 
     def run(batches):
