@@ -284,9 +284,10 @@ class LibraryMerges:
 class Encoder:
     """Cached encoding, piece by piece.
 
-    A piece of up to ``SHORT_PIECE`` code points is known by a 64-bit polynomial hash, computed for
-    all pieces at once from running sums and looked up in an open-addressed table of arrays; longer
-    ones are known by themselves in a dictionary. The cache is emptied beyond ``entries`` pieces,
+    A piece of up to ``SHORT_PIECE`` code points is found by a 64-bit polynomial hash, computed for
+    all pieces at once from running sums and looked up in an open-addressed table of arrays, and its
+    code points are compared with those kept there; longer ones, and those whose hash belongs to
+    another piece, are known by themselves in a dictionary. The cache is emptied beyond ``entries`` pieces,
     which bounds its memory and changes no result.
     """
 
@@ -304,6 +305,7 @@ class Encoder:
         self.long: dict[str, int] = {}
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, "<u4")
+        self.points, self.point = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _hashes(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(codes)
@@ -357,8 +359,26 @@ class Encoder:
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.point = np.concatenate([self.point, len(self.points) + np.cumsum(lengths) - lengths])
+        self.points = np.concatenate([self.points, np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)])
         return np.arange(first, first + len(pieces), dtype=np.int32)
 
+    def _other(self, number: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, longer: np.ndarray) -> np.ndarray:
+        """Which of the short pieces aren't the ones kept under their numbers: code points compared."""
+        out = np.zeros(len(number), bool)
+        short = np.flatnonzero(~longer)
+        if not len(short):
+            return out
+        lengths = (ends - starts)[short]
+        begin = np.cumsum(lengths) - lengths
+        within = np.arange(lengths.sum()) - np.repeat(begin, lengths)
+        kept = np.minimum(np.repeat(self.point[number[short]], lengths) + within, len(self.points) - 1)
+        unlike = codes[np.repeat(starts[short], lengths) + within] != self.points[kept]
+        past = np.append(self.point, len(self.points))[number[short] + 1]
+        out[short] = (np.add.reduceat(unlike.astype(np.int64), begin) > 0) | (past - self.point[number[short]] != lengths)
+        return out
+
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row and the offset of each text in them (one more)."""
         joined, starts, offsets = pieces_of(texts)
@@ -371,12 +391,6 @@ class Encoder:
         keys = self._hashes(codes, starts, ends)
         number = self._look_up(keys)
         longer = ends - starts > self.SHORT_PIECE
-        if longer.any():
-            which = np.flatnonzero(longer)
-            texts_ = [joined[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
-            if new := [p for p in dict.fromkeys(texts_) if p not in self.long]:
-                self.long.update(zip(new, self._add(new).tolist(), strict=True))
-            number[which] = [self.long[p] for p in texts_]
         missing = np.flatnonzero((number < 0) & ~longer)
         if len(missing):
             new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
@@ -384,6 +398,12 @@ class Encoder:
             made = self._add([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             self._insert(new, made)
             number[missing] = made[back]
+        by_itself = np.flatnonzero(longer | self._other(number, codes, starts, ends, longer))
+        if len(by_itself):
+            texts_ = [joined[a:b] for a, b in zip(starts[by_itself].tolist(), ends[by_itself].tolist(), strict=True)]
+            if fresh := [p for p in dict.fromkeys(texts_) if p not in self.long]:
+                self.long.update(zip(fresh, self._add(fresh).tolist(), strict=True))
+            number[by_itself] = [self.long[p] for p in texts_]
         sizes = self.size[number]
         upto = np.cumsum(sizes)
         flat = self.ids[np.repeat(self.begin[number] - upto + sizes, sizes) + np.arange(upto[-1])]

@@ -48,7 +48,6 @@ def test_library_pieces():
 
     path = tokenizer_file("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     random.seed(3)
     texts = ["", "It's  a <|endoftext|> test\n\n of\tthings 123's", *("".join(random.choices("abst're' \n1.é", k=200)) for _ in range(50))]
     assert [np.frombuffer(x, "<u4").tolist() for x in bpe.library_encoder(path).encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
@@ -64,3 +63,14 @@ def test_round_trip_with_nulls_and_clashing_columns(spark, theirs):
     back = bpe.decode_documents(bpe.encode_documents(df)).collect()
     assert sorted((str(r.doc_id), bytes(r.bytes)) for r in back) == sorted((str(k), (t or "").encode()) for k, t, _ in rows)
     assert bpe.round_trip(df.limit(0)).collect() == []
+
+
+def test_equal_hashes_of_different_pieces_do_no_harm(theirs, monkeypatch):
+    whole = bpe.Encoder._hashes
+    monkeypatch.setattr(bpe.Encoder, "_hashes", lambda *a: whole(*a) >> np.uint64(58) | np.uint64(1))
+    encoder = bpe.Encoder(bpe.Ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken")))
+    random.seed(5)
+    for _ in range(3):
+        texts = [" ".join("".join(random.choices("abcdé1", k=random.randint(1, 6))) for _ in range(80)) for _ in range(10)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [theirs.encode_ordinary(t) for t in texts]
+    assert 0 < len(encoder.points) and len(encoder.long) > 100
