@@ -1,8 +1,8 @@
 """Quality classification by co-training of two views of a document.
 
-Text view: which words occur (hashed). Metadata view: source, language, length, and the page's
-layout: line lengths, shares of capitals, digits, signs and repeated lines, each in steps. Both are
-naive Bayes over hashed features, so a model is a table of counts and its training is a sum.
+Text view: which words occur (hashed). Metadata view: no words; source, language, length, and unless
+``page_layout`` is false the page's layout: line lengths, shares of capitals, digits, signs and
+repeated lines, each in steps. Both are naive Bayes over hashed features, so a model is a table of counts and its training is a sum.
 
 Each round, every document that a view is confident about lends its label, as that view sees it, to
 the other view's counts; confidence is judged on calibrated scores. Thus the pseudo-labels of all
@@ -10,7 +10,7 @@ documents count, not of a sample. At the end both views are calibrated on labell
 their counts leave out (two folds), a logistic combination of the calibrated logits is fitted on
 the same ones, and all documents are scored.
 
-The driver holds at most ``labelled_limit`` labelled documents (the smallest hashes of the id) for
+The driver holds at most ``labelled_limit`` different labelled documents (the smallest hashes) for
 calibration, and tables of ``BUCKETS`` rows; features stay in the shared folder.
 
 Null texts have no words, null metadata is a value of its own. Documents whose id is null or has no
@@ -84,12 +84,12 @@ def layout(text: str) -> list[str]:
     ]
 
 
-def meta_rows(values: list[object], text: str) -> np.ndarray:
-    names = [f"{i}={v}" for i, v in enumerate(values)] + layout(text)
+def meta_rows(values: list[object], text: str, page_layout: bool = True) -> np.ndarray:
+    names = [f"{i}={v}" for i, v in enumerate(values)] + (layout(text) if page_layout else [f"length {len(text).bit_length()}"])
     return np.unique(np.array([xxhash.xxh3_64_intdigest(x) >> 64 - BITS for x in names], np.uint16))
 
 
-def features(docs: DataFrame, *, carry: list[str], metadata: list[str], text: str) -> DataFrame:
+def features(docs: DataFrame, *, carry: list[str], metadata: list[str], text: str, page_layout: bool = True) -> DataFrame:
     """``carry`` and binary ``_words`` and ``_meta``: sorted 16-bit table rows. Written down."""
     own = own_name(docs, "_text")
     names = [own_name(docs, f"_m{i}") for i, _ in enumerate(metadata)]
@@ -101,7 +101,7 @@ def features(docs: DataFrame, *, carry: list[str], metadata: list[str], text: st
             texts = texts_of(b, own)
             values = list(zip(*[column(b, n).to_pylist() for n in names], strict=True)) if names else [()] * len(texts)
             words = [text_rows(t, known).tobytes() for t in texts]
-            metas = [meta_rows(list(v), t).tobytes() for v, t in zip(values, texts, strict=True)]
+            metas = [meta_rows(list(v), t, page_layout).tobytes() for v, t in zip(values, texts, strict=True)]
             yield [*[b.column(i) for i in range(len(carry))], pa.array(words, pa.binary()), pa.array(metas, pa.binary())]
 
     picked = docs.select(*carry, F.col(text).alias(own), *[F.col(m).cast("string").alias(n) for m, n in zip(metadata, names, strict=True)])
@@ -214,75 +214,102 @@ def _fit(parts: list[Counts], given: list[list[np.ndarray]], y: np.ndarray, fold
     return Classifier([(parts[v] + lent[v]).weights() for v in (0, 1)], scales, logistic(both, y))
 
 
-def cotrain(rows: DataFrame, taken: list, target: str, *, rounds: int = 2, confident: float = 0.95) -> Classifier:
-    """``rows``: features of all documents, written down, with a long ``_h`` (hash of the id).
-    ``taken``: features of labelled documents, with ``_h`` and ``target``; only 0 and 1 count."""
-    taken = [r for r in taken if r[target] in (0, 1)]
-    y = np.array([r[target] for r in taken], np.int64)
-    if len(y) < 4 or y.min() == y.max():
-        return Classifier([], [], np.zeros(3), float(y.mean()) if len(y) else 0.5)
-    given = [[np.frombuffer(bytes(r[v]), np.uint16) for r in taken] for v in VIEWS]
-    folds = np.zeros(len(y), np.int64)
-    for k in (0, 1):  # alternate within each class
-        folds[y == k] = np.arange((y == k).sum()) % FOLDS
-    parts = [counts_of(g, y) for g in given]
-    lent = [Counts(), Counts()]
+class Training:
+    """What one target's rounds need: labelled features, folds, and the counts lent so far."""
+
+    def __init__(self, taken: list, target: str) -> None:
+        taken = [r for r in taken if r[target] in (0, 1)]
+        self.y = np.array([r[target] for r in taken], np.int64)
+        self.constant = None
+        if len(self.y) < 4 or self.y.min() == self.y.max():
+            self.constant = float(self.y.mean()) if len(self.y) else 0.5
+            return
+        self.given = [[np.frombuffer(bytes(r[v]), np.uint16) for r in taken] for v in VIEWS]
+        self.folds = np.zeros(len(self.y), np.int64)
+        for k in (0, 1):  # alternate within each class
+            self.folds[self.y == k] = np.arange((self.y == k).sum()) % FOLDS
+        self.parts = [counts_of(g, self.y) for g in self.given]
+        self.lent = [Counts(), Counts()]
+
+    def fit(self) -> Classifier:
+        if self.constant is not None:
+            return Classifier([], [], np.zeros(3), self.constant)
+        return _fit(self.parts, self.given, self.y, self.folds, self.lent)
+
+    def lend(self, found: list[Counts]) -> None:
+        """Pseudo-labels of a view weigh as much as its true labels at most, in the same ratio."""
+        if self.constant is None:
+            self.lent = [c.like(np.bincount(self.y, minlength=2)) for c in found]
+
+
+def cotrain(rows: DataFrame, taken: list, targets: list[str], *, rounds: int = 2, confident: float = 0.95) -> list[Classifier]:
+    """A classifier for each target. ``rows``: features of all documents, written down, with a long
+    ``_h`` (hash of the id); a round reads them once for all targets. ``taken``: features of labelled
+    documents, with ``_h`` and the targets, of which only 0 and 1 count."""
+    trainings = [Training(taken, t) for t in targets]
     bar = float(np.log(confident / (1 - confident)))
-    taken_hashes = np.array(sorted({r["_h"] for r in taken}), np.int64)
-    for _ in range(rounds):
-        model = _fit(parts, given, y, folds, lent)
-        # pseudo-labels of a view weigh as much as its true labels at most, in the same ratio
-        lent = [c.like(np.bincount(y, minlength=2)) for c in pseudo_labelled(rows, model, bar, taken_hashes)]
-    return _fit(parts, given, y, folds, lent)
+    hashes = np.array(sorted({r["_h"] for r in taken}), np.int64)
+    for _ in range(rounds if any(t.constant is None for t in trainings) else 0):
+        for t, found in zip(trainings, pseudo_labelled(rows, [t.fit() for t in trainings], bar, hashes), strict=True):
+            t.lend(found)
+    return [t.fit() for t in trainings]
 
 
-def pseudo_labelled(rows: DataFrame, model: Classifier, bar: float, labelled_hashes: np.ndarray) -> list[Counts]:
-    """Counts for each view from documents that the *other* view is confident about; all documents
-    but the labelled ones. At most 2 * 2 * (BUCKETS + 1) sums go to the driver."""
-    sc = rows.sparkSession.sparkContext
-    sent = sc.broadcast((model, labelled_hashes))  # tables of fixed size, hashes up to the limit
+def pseudo_labelled(rows: DataFrame, models: list[Classifier], bar: float, labelled_hashes: np.ndarray) -> list[list[Counts]]:
+    """For each model, counts for each view from documents that the *other* view is confident about;
+    all documents but the labelled ones. At most 2 * 2 * (BUCKETS + 1) sums a model go to the driver."""
+    sent = rows.sparkSession.sparkContext.broadcast((models, labelled_hashes))  # tables of fixed size, hashes up to the limit
     schema = T.StructType([field("at", "int"), field("n", "bigint")])
+    shape = (len(models), 2, 2, BUCKETS + 1)
 
     def run(batches):
-        m, done = sent.value
-        total = np.zeros((2, 2, BUCKETS + 1), np.int64)
+        models, done = sent.value
+        total = np.zeros(shape, np.int64)
         for b in batches:
-            h = column(b, "_h").to_numpy(zero_copy_only=False)
-            free = ~np.isin(h, done)
-            for teacher, pupil in ((0, 1), (1, 0)):
-                z = m.calibrated(teacher, column(b, VIEWS[teacher]))
-                raw = column(b, VIEWS[pupil]).to_pylist()
-                for k, sure in ((0, free & (z <= -bar)), (1, free & (z >= bar))):
-                    at = np.flatnonzero(sure)
-                    total[pupil, k, :BUCKETS] += np.bincount(np.frombuffer(b"".join([raw[i] or b"" for i in at]), np.uint16), minlength=BUCKETS)
-                    total[pupil, k, BUCKETS] += len(at)
+            free = ~np.isin(column(b, "_h").to_numpy(zero_copy_only=False), done)
+            raw = [column(b, v).to_pylist() for v in VIEWS]
+            for i, m in enumerate(models):
+                for teacher, pupil in ((0, 1), (1, 0)) if m.constant is None else ():
+                    z = m.calibrated(teacher, column(b, VIEWS[teacher]))
+                    for k, sure in ((0, free & (z <= -bar)), (1, free & (z >= bar))):
+                        at = np.flatnonzero(sure)
+                        total[i, pupil, k, :BUCKETS] += np.bincount(np.frombuffer(b"".join([raw[pupil][j] or b"" for j in at]), np.uint16), minlength=BUCKETS)
+                        total[i, pupil, k, BUCKETS] += len(at)
         flat = total.reshape(-1)
         at = np.flatnonzero(flat)
         yield [pa.array(at.astype(np.int32)), pa.array(flat[at])]
 
     summed = map_batches(rows.select("_h", *VIEWS), run, schema, text=None).groupBy("at").agg(F.sum("n").alias("n"))
-    flat = np.zeros(2 * 2 * (BUCKETS + 1))
+    flat = np.zeros(int(np.prod(shape)))
     for r in summed.toLocalIterator():
         flat[r["at"]] = r["n"]
-    cube = flat.reshape(2, 2, BUCKETS + 1)
-    return [Counts(cube[v, :, :BUCKETS], cube[v, :, BUCKETS]) for v in (0, 1)]
+    cube = flat.reshape(shape)
+    return [[Counts(x[v, :, :BUCKETS], x[v, :, BUCKETS]) for v in (0, 1)] for x in cube]
+
+
+def labelled_rows(rows: DataFrame, marks: DataFrame, limit: int) -> list:
+    """At most ``limit`` different labelled documents, those with the smallest hashes of id and
+    features, so that neither a repeated id nor a repeated row brings more of them to the driver."""
+    ys = [c for c in marks.columns if c != "_of"]
+    # at most ``limit`` marks, which bounds the broadcast
+    sample = smallest(marks.withColumn("_l", F.xxhash64("_of")), "_l", limit)
+    found = rows.join(F.broadcast(sample), F.col("_key") == F.col("_of")).select("_h", *VIEWS, *ys, F.xxhash64("_h", *VIEWS, *ys).alias("_l"))
+    found = materialise(found.groupBy("_l").agg(*[F.first(c).alias(c) for c in ("_h", *VIEWS, *ys)]), "labelled")
+    return sorted(smallest(found, "_l", limit).collect(), key=lambda r: r["_l"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, targets: tuple[str, ...] = ("quality", "toxic"), metadata: list[str] | None = None, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, labelled_limit: int = 20_000, **how) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, targets: tuple[str, ...] = ("quality", "toxic"), metadata: list[str] | None = None, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, labelled_limit: int = 20_000, page_layout: bool = True, **how) -> DataFrame:
     """``carry`` (``key`` alone if None) and a double ``<target>_score`` for each target: the
     probability of label 1."""
     carry = [key] if carry is None else carry
     metadata = ["source", "lang"] if metadata is None else metadata
     named = {c: f"_c{i}" for i, c in enumerate(carry)}
     slim = docs.select(*[F.col(c).alias(n) for c, n in named.items()], F.xxhash64(F.col(key)).alias("_h"), F.col(key).alias("_key"), F.col(text).alias("_t"), *[F.col(m).alias(f"_d{i}") for i, m in enumerate(metadata)])
-    rows = features(slim, carry=[*named.values(), "_h", "_key"], metadata=[f"_d{i}" for i in range(len(metadata))], text="_t")
+    rows = features(slim, carry=[*named.values(), "_h", "_key"], metadata=[f"_d{i}" for i in range(len(metadata))], text="_t", page_layout=page_layout)
     marks = labels.select(F.col(key).alias("_of"), *[F.col(t).alias(f"_y{i}") for i, t in enumerate(targets)])
     valid = reduce(Column.__or__, [F.col(f"_y{i}").isin(0, 1) for i in range(len(targets))])
-    # at most ``labelled_limit`` rows, which bounds the broadcast and what comes to the driver
-    sample = smallest(marks.filter(valid & F.col("_of").isNotNull()).withColumn("_l", F.xxhash64("_of")), "_l", labelled_limit)
-    labelled = rows.join(F.broadcast(sample), F.col("_key") == F.col("_of")).select("_h", *VIEWS, *[f"_y{i}" for i in range(len(targets))])
-    taken = sorted(labelled.collect(), key=lambda r: (r["_h"], bytes(r[VIEWS[0]])))
-    models = [cotrain(rows, taken, f"_y{i}", **how) for i in range(len(targets))]
+    taken = labelled_rows(rows, marks.filter(valid & F.col("_of").isNotNull()), labelled_limit)
+    models = cotrain(rows, taken, [f"_y{i}" for i in range(len(targets))], **how)
     sent = docs.sparkSession.sparkContext.broadcast(models)
     schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType, True) for c in carry], *[field(f"{t}_score", "double") for t in targets]])
 

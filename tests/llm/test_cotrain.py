@@ -64,3 +64,42 @@ def test_without_labels_or_rows(spark):
     one = spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
     assert {(r.quality_score, r.toxic_score) for r in ct.classify(docs, one).collect()} == {(1.0, 0.0)}
     assert ct.classify(docs.limit(0), none).collect() == []
+
+
+def area(scores, y):
+    """Area under the ROC curve."""
+    place = np.empty(len(scores))
+    place[np.argsort(scores, kind="stable")] = np.arange(1, len(scores) + 1)
+    y = np.array(y)
+    return (place[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+
+
+def test_rounds_help_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    got = {}
+    for rounds in (0, 2):
+        rows = ct.classify(docs, labels.filter(~held), rounds=rounds).join(labels.filter(held), "doc_id").collect()
+        got[rounds] = [area([r[f"{t}_score"] for r in rows], [r[t] for r in rows]) for t in ("quality", "toxic")]
+        got[rounds].append(np.mean([r.toxic_score >= 0.5 for r in rows if r.toxic]))
+    assert got[2][0] > 0.97 and got[2][0] >= got[0][0] - 0.002
+    assert got[2][1] > got[0][1] + 0.01 and got[2][1] > 0.95 and got[2][2] > got[0][2] + 0.05, got
+
+
+def test_one_id_with_very_many_rows_is_bounded(spark, monkeypatch):
+    seen = []
+    real = ct.cotrain
+    monkeypatch.setattr(ct, "cotrain", lambda rows, taken, targets, **how: seen.append(len(taken)) or real(rows, taken, targets, **how))
+    rows = make(300)
+    hot = spark.range(20_000).selectExpr("3L AS doc_id", "concat('gutab wort', id % 2000) AS text", "'a' AS source", "'en' AS lang")
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string").unionByName(hot)
+    marks = spark.createDataFrame([(r[0], r[4]) for r in rows[:100]], "doc_id long, quality int")
+    out = ct.classify(docs, marks, targets=("quality",), labelled_limit=60, rounds=1)
+    assert out.count() == 20_300 and seen[0] <= 60
+
+
+def test_very_long_texts(spark):
+    rows = [*make(40), (900, "gutab " * 400_000, "a", "en", 1), (901, "x" * 3_000_000, "b", "en", 0)]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string")
+    marks = spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, quality int")
+    assert ct.classify(docs, marks, targets=("quality",)).filter("quality_score BETWEEN 0 AND 1").count() == 42
