@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import CubeModel, Dimension, Level, StoredMeasure
 from ..session import Cube
+from ..sources.prepared import prepare
 from ..sources.tables import FrameSource, parquet
 
 
@@ -16,8 +17,8 @@ def calendar(name: str, column: str) -> Dimension:
     month = "year({fk}) * 100 + month({fk})"
     return Dimension(name, column, (
         Level("day", "date", "date", ("day_of_month", "day_of_year"), columns=(("date", day), ("day_of_month", "dayofmonth({fk})"), ("day_of_year", "dayofyear({fk})"))),
-        Level("month", "year_month", "month_name", ("month_number", "year_month"), columns=(("year_month", month), ("month_name", "date_format({fk}, 'MMMM')"), ("month_number", "month({fk})"))),
-        Level("year", "year", "year", columns=(("year", year),)),
+        Level("month", "year_month", "month_name", ("month_number", "year_month"), columns=(("year_month", month), ("month_name", "date_format({fk}, 'MMMM')"), ("month_number", "month({fk})")), spans=(("year_month", "year_month"),)),
+        Level("year", "year", "year", columns=(("year", year),), spans=(("year", "year"),)),
     ))
 
 
@@ -54,13 +55,15 @@ EVENTS = CubeModel(
 )
 
 
-def sales_cube(spark: SparkSession, path: str) -> Cube:
+def sales_cube(spark: SparkSession, path: str, *, prepared: str | None = None) -> Cube:
     """Lines joined with their orders as the fact; the join is skipped where nothing of the order
-    is used, as the orders' keys are sound."""
+    is used, as the orders' keys are sound. With a folder ``prepared`` the fact is written there
+    once, with its orders and levels and in ranges of the order date, which also checks all keys."""
     files = parquet(spark, path)
     lines, orders = files.table("lineitem"), files.table("orders")
     tables = {t: files.table(t) for t in ("customer", "supplier", "part", "nation", "region")}
-    return Cube(SALES, _SalesSource(spark, lines, orders, tables))
+    cube = Cube(SALES, _SalesSource(spark, lines, orders, tables))
+    return prepare(cube, prepared, sort_by="o_orderdate", rows=files.count("lineitem")) if prepared else cube
 
 
 class _SalesSource(FrameSource):

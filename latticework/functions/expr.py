@@ -49,7 +49,7 @@ class Operand:
 
     def isin(self, *values: Any) -> Test:
         given = list(values[0]) if len(values) == 1 and isinstance(values[0], (list, tuple, set)) else list(values)
-        return Test(self, lambda c: c.isin(given))
+        return Test(self, lambda c: c.isin(given), tuple(given))
 
     def between(self, low: Any, high: Any) -> Predicate:
         return (self >= low) & (self <= high)
@@ -202,6 +202,7 @@ class Compare(Predicate):
 class Test(Predicate):
     operand: Operand
     test: Callable[[Column], Column]
+    values: tuple = ()  # what the operand must be one of, where it is such a test
 
     def refs(self):
         return self.operand.refs()
@@ -232,3 +233,12 @@ class Negated(Predicate):
 
     def column(self, resolve: Resolve) -> Column:
         return ~self.inner.column(resolve)
+
+
+def conjuncts(p: Predicate | None) -> Iterator[Predicate]:
+    """The parts that must all hold."""
+    if isinstance(p, Combined) and p.how is operator.and_:
+        for x in p.parts:
+            yield from conjuncts(x)
+    elif p is not None:
+        yield from conjuncts(p.implied()) if hasattr(p, "implied") else (p,)

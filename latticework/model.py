@@ -28,7 +28,8 @@ class Level:
     ``key`` identifies a member and ``label`` names it. A level has a table of its own (snowflake),
     or, with ``table`` None, its columns stand in the level below (star): in the lower level's
     table, or for a dimension derived from a fact column in ``columns``, SQL expressions by name in
-    which ``{fk}`` is that column. ``parent_fk`` is the column with the key of the level above
+    which ``{fk}`` is that column, and ``spans`` says which of them are a ``year`` or a ``year_month``
+    of it, so that tests of those prune its scan. ``parent_fk`` is the column with the key of the level above
     where that has its own table.
     """
 
@@ -39,6 +40,7 @@ class Level:
     table: str | None = None
     parent_fk: str | None = None
     columns: tuple[tuple[str, str], ...] = ()
+    spans: tuple[tuple[str, str], ...] = ()
 
     @property
     def all_columns(self) -> tuple[str, ...]:

@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import Numeric, Resolve
+from ..functions.expr import Numeric, Resolve, Test
 from ..model import Level, ModelError
 
 if TYPE_CHECKING:
@@ -189,6 +189,17 @@ class MemberSet:
             parts.append(reduce(Column.__or__, some) if some else F.lit(False))
         return reduce(Column.__and__, parts) if parts else None
 
+    def as_test(self) -> Test | None:
+        """A test on one attribute that all members of the set pass, for pruning."""
+        if self.listed is not None and not any(m.path for m in self.listed):
+            return self.attribute.isin([m.value for m in self.listed])
+        ways = [m._as_path() for m in self.listed] if self.listed is not None else [self.under._as_path()] if self.under else []
+        tops = {(w[0].level, w[0].attribute) for w in ways}
+        if len(tops) != 1:
+            return None
+        level, name = tops.pop()
+        return replace(self.attribute, level=level, name=name).isin([w[0].value for w in ways])
+
     def frame(self) -> DataFrame:
         """``key, member`` of the set's rows in the level's table."""
         from ..plans.planner import members_frame

@@ -229,6 +229,9 @@ class InSet(Predicate):
     def refs(self):
         return self.members.refs()
 
+    def implied(self):
+        return self.members.as_test()
+
     def column(self, resolve):
         from pyspark.sql import functions as F
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import AGGREGATES, MeasureRef, Numeric
+from ..functions.expr import AGGREGATES, Compare, MeasureRef, Numeric, Predicate, Test, conjuncts
 from ..model import Dimension, Level, ModelError
 
 if TYPE_CHECKING:
@@ -20,6 +21,19 @@ if TYPE_CHECKING:
 Ref = tuple[str | None, str | None, str]
 
 
+def _year(y: int) -> tuple[datetime, datetime]:
+    return datetime(y, 1, 1), datetime(y + 1, 1, 1)
+
+
+def _month(ym: int) -> tuple[datetime, datetime]:
+    y, m = divmod(ym, 100)
+    return datetime(y, m, 1), datetime(y + m // 12, m % 12 + 1, 1)
+
+
+#: The time from and before which a calendar column has a value.
+SPANS = {"year": _year, "year_month": _month}
+
+
 def column_name(dimension: str, level: str, column: str) -> str:
     return f"{dimension}__{level}__{column}"
 
@@ -89,18 +103,61 @@ def derived_columns(d: Dimension, level: str, column: str) -> Column:
     return F.expr(made[column].format(fk=f"`{d.fact_fk}`")) if isinstance(made[column], str) else made[column]
 
 
-def joined(cube: Cube, refs: list[Ref], first: Iterable[str]) -> DataFrame:
+def spans(cube: Cube, predicate: Predicate | None) -> list[tuple[str, datetime, datetime]]:
+    """(fact column, from, before) of the times that a predicate's conjuncts on calendar levels leave:
+    no more than what the predicate says, in a form that reaches the scan's statistics."""
+    out = []
+    for p in conjuncts(predicate):
+        if isinstance(p, Compare) and isinstance(p.right, int) and not isinstance(p.right, bool):
+            a, op, values = p.left, p.op, [p.right]
+        elif isinstance(p, Test) and p.values and all(type(v) is int for v in p.values):
+            a, op, values = p.operand, "==", p.values
+        else:
+            continue
+        if not hasattr(a, "dimension") or not (d := cube.model.dimension(a.dimension)).derived:
+            continue
+        kind = dict(d.levels[d.index(a.level)].spans).get(a.name)
+        if kind is None or op == "!=":
+            continue
+        try:
+            begins, ends = zip(*(SPANS[kind](v) for v in values))
+        except ValueError:  # no such month or year
+            continue
+        low = {"==": min(begins), ">=": min(begins), ">": max(ends)}.get(op, datetime.min)
+        high = {"==": max(ends), "<=": max(ends), "<": min(begins)}.get(op, datetime.max)
+        out.append((d.fact_fk, low, high))
+    return out
+
+
+def within(fact: DataFrame, times: list[tuple[str, datetime, datetime]]) -> DataFrame:
+    """The fact's rows in all spans; literals have the column's own type, so nothing is cast."""
+    kinds = {"timestamp_ntz": "TIMESTAMP_NTZ", "timestamp": "TIMESTAMP", "date": "DATE"}
+    for column, low, high in times:
+        if kind := kinds.get(dict(fact.dtypes).get(column, "")):
+            text = lambda t: F.expr(f"{kind} '{t:%Y-%m-%d}'")  # noqa: B023, E731
+            if low > datetime.min:
+                fact = fact.filter(F.col(column) >= text(low))
+            if high < datetime.max:
+                fact = fact.filter(F.col(column) < text(high))
+    return fact
+
+
+def joined(cube: Cube, refs: list[Ref], first: Iterable[str], times: list[tuple[str, datetime, datetime]] = ()) -> DataFrame:
     """The fact with all needed columns, named by ``column_name``; fact columns keep theirs. Roles
-    in ``first`` (those that filter) are joined before the others."""
+    in ``first`` (those that filter) are joined before the others; a role whose columns are written
+    with the fact isn't joined. ``times`` prune the fact's scan."""
     model = cube.model
     by, fact_columns = needed(cube, refs)
+    written = getattr(cube.source, "columns", set())
+    there = [column_name(n, lv, c) for n, levels in by.items() for lv, cs in levels.items() for c in cs if column_name(n, lv, c) in written]
+    by = {n: left for n, levels in by.items() if (left := {lv: more for lv, cs in levels.items() if (more := {c: None for c in cs if column_name(n, lv, c) not in written})})}
     stored = [model.dimension(n) for n in by if not model.dimension(n).derived]
     made = [derived_columns(model.dimension(n), lv, c).alias(column_name(n, lv, c)) for n, levels in by.items() if model.dimension(n).derived for lv, cs in levels.items() for c in cs]
     links = {d.name: f"{d.name}__fk" for d in stored}
-    plain = {*fact_columns, *(model.dimension(n).fact_fk for n in by)}
+    plain = {*fact_columns, *(model.dimension(n).fact_fk for n in by), *(c for c, _, _ in times)}
     # a source whose fact is itself a join may know that less of it will do
     fact = cube.source.fact_for(plain) if hasattr(cube.source, "fact_for") else cube.source.table(model.fact)
-    out = fact.select(*[F.col(c) for c in fact_columns], *[F.col(d.fact_fk).alias(links[d.name]) for d in stored], *made)
+    out = within(fact, times).select(*[F.col(c) for c in fact_columns], *there, *[F.col(d.fact_fk).alias(links[d.name]) for d in stored], *made)
     order = list(dict.fromkeys([*[n for n in first if n in links], *links]))
     for name in order:
         d = model.dimension(name)
@@ -152,7 +209,8 @@ def compile_view(view: View, *, keys: bool = False, grouping: str | None = None)
         refs += list(m.refs())
     if not any(r[0] is None for r in [*refs, *filters]) and not axes:
         raise ModelError("a measure must use a column of the fact")
-    rows = joined(cube, [*refs, *filters], [r[0] for r in filters if r[0]])
+    times = spans(cube, view.predicate) + [t for s in axes for t in spans(cube, s.as_test())]
+    rows = joined(cube, [*refs, *filters], [r[0] for r in filters if r[0]], times)
     for s in axes:
         if (condition := s.condition(resolve)) is not None:
             rows = rows.filter(condition)

@@ -14,6 +14,7 @@ from .operators.view import View
 from .plans.infer import infer_model, table_counts
 from .plans.planner import children_count
 from .session import Cube
+from .sources.prepared import scratch_path
 from .sources.tables import parquet
 
 FROM = """FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
@@ -207,10 +208,10 @@ _CUBES: dict[tuple[str, str], Cube] = {}
 
 
 def _sales(spark: SparkSession, sf_dir: str) -> Cube:
-    """One cube for each application and folder: schemas are read once, as in a user's session."""
+    """One cube for each application and folder, prepared once, as in a user's session."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _CUBES:
-        _CUBES[at] = sales_cube(spark, sf_dir)
+        _CUBES[at] = sales_cube(spark, sf_dir, prepared=scratch_path(spark, "sales"))
     return _CUBES[at]
 
 
