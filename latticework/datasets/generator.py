@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +45,7 @@ def write(tables: dict[str, DataFrame], path: str, format: str = "parquet", **op
         df.write.mode("overwrite").format(format).options(**options).save(f"{path}/{name}.{format}")
 
 
-def drop_all(path: str) -> None:
-    """Remove a local folder of tables."""
-    shutil.rmtree(path, ignore_errors=True)
+def drop_all(spark: SparkSession, path: str) -> None:
+    """Remove a folder of tables, on any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

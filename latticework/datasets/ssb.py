@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..model import CubeModel, ForeignKey
 from ..plans.infer import infer_model
 from ..session import Cube
-from ..sources.tables import FrameSource, delimited
+from ..sources.tables import FrameSource, TableSource, delimited
 
 # Columns of the generator's files.
 STAR = {
@@ -39,6 +39,41 @@ def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.distinct().withColumn(key, F.row_number().over(W.orderBy(*order)).cast("int"))
 
 
+def star_of(files: TableSource) -> dict[str, DataFrame]:
+    """The benchmark's star from TPC-H-like tables: brands lie in categories and manufacturers, each
+    nation has four cities, dates are numbers like 19970131, and amounts are whole."""
+    t = files.table
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    empty = F.lit("")
+    b = F.substring("p_brand", 7, 9).cast("int")
+    mfgr = F.concat(F.lit("MFGR#"), (F.floor((b - 1) / 10) + 1).cast("string"))
+    category = F.concat(mfgr, (F.floor((b - 1) / 5) % 2 + 1).cast("string"))
+    day = lambda c: F.date_format(c, "yyyyMMdd").cast("int")
+
+    def party(table: str, p: str, key: str, last: list) -> DataFrame:
+        rows = t(table).join(places, F.col(f"{p}_nationkey") == F.col("n_nationkey"))
+        city = F.concat("n_name", F.lit(" "), (F.col(key) % 4).cast("string"))
+        return rows.select(F.col(key).cast("int").alias(key), f"{p}_name", empty.alias(f"{p}_address"), city.alias(f"{p}_city"), F.col("n_name").alias(f"{p}_nation"), F.col("r_name").alias(f"{p}_region"), empty.alias(f"{p}_phone"), *last)
+
+    sold = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    d = F.col("d")
+    days = sold.select(F.to_date("o_orderdate").alias("d")).union(sold.select(F.to_date("l_shipdate"))).distinct()
+    price = F.round("l_extendedprice").cast("int")
+    return {
+        "part": t("part").select(F.col("p_partkey").cast("int"), "p_name", mfgr.alias("p_mfgr"), category.alias("p_category"), F.concat(category, F.lit("-"), F.lpad(b.cast("string"), 2, "0")).alias("p_brand1"), empty.alias("p_color"), "p_type", F.col("p_size").cast("smallint"), empty.alias("p_container")),
+        "supplier": party("supplier", "s", "s_suppkey", []),
+        "customer": party("customer", "c", "c_custkey", [F.col("c_mktsegment")]),
+        "date": days.select(day(d).alias("d_datekey"), F.date_format(d, "MMMM d, yyyy"), F.date_format(d, "EEEE"), F.date_format(d, "MMMM"), F.year(d), F.year(d) * 100 + F.month(d), F.date_format(d, "MMMyyyy"), F.dayofweek(d), F.dayofmonth(d), F.dayofyear(d), F.month(d), F.weekofyear(d), empty, *[F.lit("0")] * 4),
+        "lineorder": sold.select(F.col("l_orderkey").cast("int"), F.col("l_linenumber").cast("smallint"), F.col("o_custkey").cast("int"), F.col("l_partkey").cast("int"), F.col("l_suppkey").cast("int"), day("o_orderdate"), "o_orderpriority", empty, F.col("l_quantity").cast("smallint"), price, F.round("o_totalprice").cast("int"), F.round(F.col("l_discount") * 100).cast("smallint"), price, F.round(F.col("l_extendedprice") * 0.6).cast("int"), F.round(F.col("l_tax") * 100).cast("smallint"), day("l_shipdate"), empty),
+    }
+
+
+def write_star(star: dict[str, DataFrame], path: str, *, suffix: str = ".tbl") -> None:
+    """As the generator writes it: delimited by bars, columns in order, no header."""
+    for name, df in star.items():
+        df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.option("sep", "|").csv(f"{path}/{name}{suffix}")
+
+
 def read_star(spark: SparkSession, path: str, *, suffix: str = ".tbl") -> dict[str, DataFrame]:
     source = delimited(spark, path, STAR, suffix=suffix, trim=True)
     return {t: source.table(t) for t in STAR}

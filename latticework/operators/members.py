@@ -255,6 +255,12 @@ class LevelRef:
     def members(self) -> MemberSet:
         return self.label.members()
 
+    def metadata(self) -> DataFrame:
+        """The level as RDF triples."""
+        from ..plans.metadata import triples_frame
+
+        return triples_frame(self.cube, dimension=self.dimension, level=self.level.name)
+
     def __getitem__(self, column: Any) -> AttributeRef | Member:
         """A column by its name; any value that isn't text is a member of the label."""
         if not isinstance(column, str):
@@ -291,6 +297,12 @@ class DimensionRef:
     def lowest_level(self) -> str:
         return self.cube.model.dimension(self.name).lowest_level()
 
+    def metadata(self) -> DataFrame:
+        """The dimension and its levels as RDF triples."""
+        from ..plans.metadata import triples_frame
+
+        return triples_frame(self.cube, dimension=self.name)
+
     def __getitem__(self, level: str) -> LevelRef:
         return LevelRef(self.cube, self.name, self.cube.model.dimension(self.name).level(level))
 

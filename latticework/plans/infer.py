@@ -127,14 +127,16 @@ def infer_model(
 ) -> CubeModel:
     """The cube of a source.
 
-    ``keys`` are foreign keys that are known; without them they are found by name and checked
-    against the data. ``fact``, ``labels`` (column by table), ``roles`` (dimension name by the fact's
+    ``keys`` are foreign keys that are known; without them those of the source's catalog, and where it
+    declares none, they are found by name and checked against the data. ``fact``, ``labels`` (column by table), ``roles`` (dimension name by the fact's
     column) and ``exclude`` (numeric fact columns that are no measures) overrule what is inferred.
     """
     names = list(tables or source.names())
     fact = fact or fact_table(table_counts(source, names))
     if fact not in names:
         raise ModelError(f"no table {fact!r}")
+    if keys is None and hasattr(source, "keys"):
+        keys = [k for k in source.keys() if k.table in names and k.to_table in names] or None
     known = list(keys) if keys is not None else verified(source, candidate_keys(source, names))
     schema = source.table(fact).schema
     place = {f.name: i for i, f in enumerate(schema)}

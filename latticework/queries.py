@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .datasets.generator import drop_all, generate, write
+from .datasets.ssb import read_star, snowflake, ssb_cube, star_of, write_star
 from .datasets.star import events_cube, sales_cube
+from .model import ModelError
 from .operators.crosstab import ordered
 from .operators.view import View
 from .plans.infer import infer_model, table_counts
 from .plans.planner import children_count
-from .session import Cube
-from .sources.prepared import scratch_path
+from .session import Cube, CubeSession
+from .sources.prepared import prepare, scratch_path
 from .sources.tables import parquet
 
 FROM = """FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
@@ -121,6 +124,12 @@ VIEWS: dict[str, tuple[Callable[[Cube], View], str]] = {
     "drilldown_region_to_nation": (lambda c: c.view().columns(c.supplier.region.members()).rows(c.order_date.year.members()).measures("quantity").drilldown(supplier="nation"), select({"supplier_nation": "sn.n_name", "order_date_year": ORDERED}, {"quantity": "l_quantity"})),
     "slice_year": (lambda c: c.view().columns(c.order_date.year.members()).rows(c.part.brand.members()).measures("quantity").slice(c.order_date.year[1998]), select({"part_brand": "p_brand"}, {"quantity": "l_quantity"}, "year(o_orderdate) = 1998")),
     "dice_axes": (lambda c: c.view().columns(c.order_date.year.members()).rows(c.supplier.nation.members()).measures("quantity").dice({"column": [c.order_date.year[1996], c.order_date.year[1997]], "row": [c.supplier.region.r_name["ASIA"], c.supplier.region.r_name["EUROPE"]]}), select({"order_date_year": ORDERED, "supplier_nation": "sn.n_name"}, {"quantity": "l_quantity"}, "year(o_orderdate) IN (1996, 1997) AND sr.r_name IN ('ASIA', 'EUROPE')")),
+    "six_axes": (lambda c: c.view().columns(c.order_date.year.members()).rows(c.supplier.region.members()).pages(c.part_type.type.members()).sections(c.ship_date.year.members()).chapters(c.customer.region.members()).axis(5, c.part.brand.members()).measures("quantity").where((c.order_date.year["year"] == 1998) & (c.part.brand.p_brand < "Brand#12")), select({"order_date_year": ORDERED, "supplier_region": "sr.r_name", "part_type_type": "p_type", "ship_date_year": SHIPPED, "customer_region": "cr.r_name", "part_brand": "p_brand"}, {"quantity": "l_quantity"}, "year(o_orderdate) = 1998 AND p_brand < 'Brand#12'")),
+    "member_by_name": (lambda c: c.view().columns([c.order_date.year[1997].January, c.order_date.year[1999].May]).rows([c.customer.region.r_name["ASIA"].NATION_2, c.customer.region.r_name["AFRICA"].NATION_0]).measures("quantity"), select({"order_date_month": "monthname(o_orderdate)", "customer_nation": "cn.n_name"}, {"quantity": "l_quantity"}, "(year(o_orderdate) * 100 + month(o_orderdate)) IN (199701, 199905) AND (cr.r_name = 'ASIA' AND cn.n_name = 'NATION_2' OR cr.r_name = 'AFRICA' AND cn.n_name = 'NATION_0')")),
+    "default_measure": (lambda c: c.view().default_measure("tax").columns(c.customer.region.members()), select({"customer_region": "cr.r_name"}, {"tax": "l_tax"})),
+    "one_shot_measure": (lambda c: c.view().columns(c.part_type.type.members()).measures("quantity").with_measures(c.extendedprice), select({"part_type_type": "p_type"}, {"extendedprice": "l_extendedprice"})),
+    "drilldown_to_all": (lambda c: c.rollup(supplier="ALL").drilldown(supplier="ALL").view().columns(c.customer.region.members()).measures("quantity"), select({"customer_region": "cr.r_name"}, {"quantity": "l_quantity"})),
+    "loaded_view": (lambda c: CubeSession(c).load_view("sales").columns(c.supplier.region.members()).measures("tax"), select({"supplier_region": "sr.r_name"}, {"tax": "l_tax"})),
 }
 
 
@@ -138,6 +147,115 @@ def _ordered(c: Cube) -> DataFrame:
     return ordered(c.view().columns([b["Brand#7"], b["Brand#2"], b["Brand#19"]]).measures("quantity"))
 
 
+def _pandas_crosstab(c: Cube) -> DataFrame:
+    """Every place of the pandas cross-tab, with the numbers of its row and column."""
+    view = c.view().columns(c.order_date.year.members()).rows(c.supplier.nation.members()).measures("quantity", "tax")
+    out = view.where(c.part.brand.p_brand.isin("Brand#1", "Brand#2") & (c.quantity > 45)).output()
+    rows = [(i, nation, k, year, measure, None if out.iat[i, k] != out.iat[i, k] else float(out.iat[i, k])) for i, nation in enumerate(out.index) for k, (year, measure) in enumerate(out.columns)]
+    return c.source.spark.createDataFrame(rows, "at_row int, nation string, at_column int, year int, measure string, value double")
+
+
+PANDAS_SQL = f"""WITH cells AS ({select({"n_key": "sn.n_nationkey", "nation": "sn.n_name", "year": ORDERED}, {"quantity": "l_quantity", "tax": "l_tax"}, "p_brand IN ('Brand#1', 'Brand#2') AND l_quantity > 45")}),
+ down AS (SELECT n_key, nation, CAST(row_number() OVER (ORDER BY n_key) - 1 AS INT) AS at_row FROM (SELECT DISTINCT n_key, nation FROM cells)),
+ across AS (SELECT year, measure, CAST(row_number() OVER (ORDER BY year, measure) - 1 AS INT) AS at_column FROM (SELECT DISTINCT year FROM cells), (VALUES ('quantity'), ('tax')) m(measure))
+ SELECT at_row, down.nation, at_column, across.year, measure, CASE measure WHEN 'quantity' THEN quantity ELSE tax END AS value FROM down CROSS JOIN across LEFT JOIN cells ON cells.n_key = down.n_key AND cells.year = across.year"""
+
+
+def _crosstab_one_axis(c: Cube) -> DataFrame:
+    """One axis gives one row; months of several years have their year in the title."""
+    year = c.order_date.year["year"]
+    out = c.view().columns(c.order_date.month.members()).where((year >= 1996) & (year <= 1997)).measures("quantity").output()
+    rows = [(k, str(title), measure, float(out.iat[0, k]), len(out)) for k, (title, measure) in enumerate(out.columns)]
+    return c.source.spark.createDataFrame(rows, "at_column int, title string, measure string, value double, n_rows int")
+
+
+ONE_AXIS_SQL = f"SELECT CAST(row_number() OVER (ORDER BY year, month) - 1 AS INT) AS at_column, year || '/' || name AS title, 'quantity' AS measure, quantity AS value, 1 AS n_rows FROM ({select({'year': 'year(o_orderdate)', 'month': 'month(o_orderdate)', 'name': 'monthname(o_orderdate)'}, {'quantity': 'l_quantity'}, 'year(o_orderdate) IN (1996, 1997)')})"
+
+
+def _crosstab_without_axes(c: Cube) -> DataFrame:
+    out = c.view().measures("quantity", "discount").output()
+    return c.source.spark.createDataFrame([tuple(float(x) for x in r) for r in out.itertuples(index=False)], "quantity double, discount double")
+
+
+def _loaded_members(c: Cube) -> DataFrame:
+    """Members one by one on the driver, with their parents."""
+    rows = [(m.value, m.parent.value, m.parent.attribute.level) for region in c.customer.region.members().load() for m in region.children().load()]
+    return c.source.spark.createDataFrame(rows, "member string, parent string, parent_level string")
+
+
+def _lowest_levels(c: Cube) -> DataFrame:
+    up = c.rollup(customer="region", part="ALL")
+    return c.source.spark.createDataFrame([(n, c[n].lowest_level(), up[n].lowest_level()) for n in c.dimensions()], "dimension string, lowest string, after_rollup string")
+
+
+def _moves(c: Cube) -> DataFrame:
+    """Which moves the model allows."""
+    moves = {"up": lambda: c.rollup(customer="nation"), "up and down": lambda: c.rollup(customer="region").drilldown(customer="customer"), "rollup goes down": lambda: c.rollup(customer="region").rollup(customer="nation"),
+             "drilldown goes up": lambda: c.drilldown(customer="region"), "no such level": lambda: c.rollup(customer="continent"), "no such dimension": lambda: c.rollup(shop="ALL"), "hidden level": lambda: c.rollup(customer="region").view().columns(c.rollup(customer="region").customer.nation)}
+    rows = []
+    for name, move in moves.items():
+        try:
+            move()
+            rows.append((name, True))
+        except (ModelError, AttributeError):
+            rows.append((name, False))
+    return c.source.spark.createDataFrame(rows, "move string, allowed boolean")
+
+
+MOVES_SQL = "SELECT * FROM (VALUES ('up', true), ('up and down', true), ('rollup goes down', false), ('drilldown goes up', false), ('no such level', false), ('no such dimension', false), ('hidden level', false)) t(move, allowed)"
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A synthetic snowflake, written, read back, inferred, queried and dropped."""
+    path = scratch_path(spark, "generated")
+    tables, keys = generate(spark, [(2, 2), (3, 2)], measures=1)
+    write(tables, path)
+    c = CubeSession.infer(spark, parquet(spark, path), keys=keys).cube("cube")
+    view = c.view().columns(c.dimension0_level1.dimension0_level0.members()).rows(c.dimension1_level2.dimension1_level1.members())
+    rows = [(*r, len(tables)) for r in view.to_df(keys=True).collect()]
+    drop_all(spark, path)
+    if parquet(spark, path.rpartition("/")[0]).exists(path.rpartition("/")[2]):
+        raise RuntimeError(f"{path} is still there")
+    return spark.createDataFrame(rows, "top string, top_id long, middle string, middle_id long, measure0 double, n_tables int")
+
+
+GENERATED_SQL = """SELECT 'member' || (i // 16 % 2 + 1) AS top, CAST(i // 16 + 1 AS BIGINT) AS top_id, 'member' || (i % 8 // 2 % 2 + 1) AS middle, CAST(i % 8 // 2 + 1 AS BIGINT) AS middle_id,
+ CAST(sum(i + 1) AS DOUBLE) AS measure0, 6 AS n_tables FROM (SELECT unnest(range(32)) AS i) GROUP BY ALL"""
+
+# What the sales model says about itself, stated apart from it: dimension, level, attributes.
+LEVELS = [
+    *((d, lv, a) for d, lv, a in (
+        ("customer", "customer", "c_name c_acctbal"), ("customer", "nation", "n_name"), ("customer", "region", "r_name"),
+        ("supplier", "supplier", "s_name s_acctbal"), ("supplier", "nation", "n_name"), ("supplier", "region", "r_name"),
+        ("part", "part", "p_name p_size p_retailprice"), ("part", "brand", "p_brand"), ("part_type", "part", "p_name"), ("part_type", "type", "p_type"),
+    )),
+    *((d, lv, a) for d in ("order_date", "ship_date") for lv, a in (("day", "date day_of_month day_of_year"), ("month", "month_name month_number year_month"), ("year", "year"))),
+]
+
+
+def _triples_sql(dimension: str | None = None, level: str | None = None) -> str:
+    """The triples of a cube, of one of its dimensions, or of a level, as rows."""
+    base, qb, qb4o, kind = "http://example.org/", "http://purl.org/linked-data/cube#", "http://purl.org/qb4olap/cubes/", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    levels = [x for x in LEVELS if dimension in (None, x[0]) and level in (None, x[1])]
+    out = {}
+    if not dimension:
+        out[f"{base}sales_dsd", kind, f"{qb}DataStructureDefinition"] = 0
+    if not level:
+        for d in dict.fromkeys(x[0] for x in levels):
+            first = next(lv for n, lv, _ in levels if n == d)
+            out |= {(f"{base}sales_dsd", f"{qb}component", f"_:dimension_{d}"): 0, (f"_:dimension_{d}", f"{qb4o}level", base + first): 0, (base + d, kind, f"{qb}DimensionProperty"): 0}
+    for d, lv, attributes in levels:
+        out |= {(base + lv, kind, f"{qb4o}LevelProperty"): 0, (base + lv, f"{qb4o}inDimension", base + d): 0}
+        above = [x for n, x, _ in LEVELS if n == d]
+        if above.index(lv) + 1 < len(above):
+            out[base + lv, f"{qb4o}parentLevel", base + above[above.index(lv) + 1]] = 0
+        for a in attributes.split():
+            out |= {(base + a, kind, f"{qb}AttributeProperty"): 0, (base + lv, f"{qb4o}hasAttribute", base + a): 0}
+    for m in ("quantity", "extendedprice", "discount", "tax") if not dimension else ():
+        out |= {(f"{base}sales_dsd", f"{qb}component", f"_:measure_{m}"): 0, (f"_:measure_{m}", f"{qb4o}hasAggregateFunction", f"{qb4o}sum"): 0, (f"_:measure_{m}", f"{qb}measure", base + m): 0, (base + m, kind, f"{qb}MeasureProperty"): 0}
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in out) + ") t(subject, predicate, object)"
+
+
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inferred from the files: which table is the fact, and what it refers to."""
     source = parquet(spark, sf_dir)
@@ -193,28 +311,106 @@ FRAMES: dict[str, tuple[Callable[[Cube], DataFrame], str]] = {
     "children_count": (lambda c: children_count(c, "supplier", "region").withColumnRenamed("key", "id"), "SELECT r_regionkey AS id, r_name AS member, count(DISTINCT n_nationkey) AS n_children FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2"),
     "hierarchy_table": (_hierarchies, HIERARCHY_SQL),
     "model_measures": (lambda c: c.source.spark.createDataFrame([(m.name, m.agg) for m in c.model.measures], "measure string, agg string"), "SELECT * FROM (VALUES ('quantity', 'sum'), ('extendedprice', 'sum'), ('discount', 'sum'), ('tax', 'sum')) t(measure, agg)"),
-    "metadata_triples": (lambda c: c.metadata(), ""),
+    "metadata_triples": (lambda c: c.metadata(), _triples_sql()),
+    "metadata_of_dimension": (lambda c: c.customer.metadata(), _triples_sql("customer")),
+    "metadata_of_level": (lambda c: c.part.part.metadata(), _triples_sql("part", "part")),
+    "pandas_crosstab": (_pandas_crosstab, PANDAS_SQL),
+    "crosstab_one_axis": (_crosstab_one_axis, ONE_AXIS_SQL),
+    "crosstab_without_axes": (_crosstab_without_axes, select({}, {"quantity": "l_quantity", "discount": "l_discount"})),
+    "loaded_members": (_loaded_members, "SELECT n_name AS member, r_name AS parent, 'region' AS parent_level FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "lowest_levels": (_lowest_levels, "SELECT * FROM (VALUES ('customer', 'customer', 'region'), ('supplier', 'supplier', 'supplier'), ('part', 'part', 'ALL'), ('part_type', 'part', 'part'), ('order_date', 'day', 'day'), ('ship_date', 'day', 'day')) t(dimension, lowest, after_rollup)"),
+    "moves_of_the_model": (_moves, MOVES_SQL),
+}
+
+# The benchmark's queries on its own cube; members are those of the given tables.
+_B = "CAST(substr(p_brand, 7) AS INT)"
+_CATEGORY = f"'MFGR#' || (({_B} - 1) // 10 + 1) || (({_B} - 1) // 5 % 2 + 1)"
+_BRAND = f"{_CATEGORY} || '-' || lpad(substr(p_brand, 7), 2, '0')"
+_CITY = "{n}.n_name || ' ' || {key} % 4"
+_S_CITY, _C_CITY = _CITY.format(n="sn", key="s_suppkey"), _CITY.format(n="cn", key="c_custkey")
+_PRICE, _PERCENT = "CAST(round(l_extendedprice) AS BIGINT)", "CAST(round(l_discount * 100) AS BIGINT)"
+_COST = "CAST(round(l_extendedprice * 0.6) AS BIGINT)"
+
+
+def _ssb_sql(columns: dict[str, str], measure: dict[str, str], where: str) -> str:
+    parts = [f"{e} AS {n}" for n, e in columns.items()] + [f"CAST(sum({e}) AS BIGINT) AS {n}" for n, e in measure.items()]
+    return f"SELECT {', '.join(parts)} {FROM} WHERE {where}" + (" GROUP BY ALL" if columns else "")
+
+
+def _flight1(where: Callable[[Cube], object], sql: str):
+    return lambda c: c.view().where(where(c)).measures(revenue=c.lo_extendedprice * c.lo_discount), _ssb_sql({}, {"revenue": f"{_PRICE} * {_PERCENT}"}, sql)
+
+
+def _flight2(where: Callable[[Cube], object], sql: str):
+    view = lambda c: c.view().columns(c.date1.year.members()).rows(c.part.brand1.members()).where(where(c)).measures("lo_revenue")
+    return view, _ssb_sql({"date1_year": ORDERED, "part_brand1": _BRAND}, {"lo_revenue": _PRICE}, sql)
+
+
+def _flight3(level: str, where: Callable[[Cube], object], sql: str):
+    c_, s_ = {"nation": ("cn.n_name", "sn.n_name"), "city": (_C_CITY, _S_CITY)}[level]
+    view = lambda c: c.view().columns(c.customer[level].members()).rows(c.supplier[level].members()).pages(c.date1.year.members()).where(where(c)).measures("lo_revenue")
+    return view, _ssb_sql({f"customer_{level}": c_, f"supplier_{level}": s_, "date1_year": ORDERED}, {"lo_revenue": _PRICE}, sql)
+
+
+def _flight4(axes: Callable[[Cube, View], View], columns: dict[str, str], where: Callable[[Cube], object], sql: str):
+    view = lambda c: axes(c, c.view().columns(c.date1.year.members())).where(where(c)).measures(profit=c.lo_revenue - c.lo_supplycost)
+    return view, _ssb_sql({"date1_year": ORDERED, **columns}, {"profit": f"{_PRICE} - {_COST}"}, sql)
+
+
+_MFGR = lambda c: (c.part.mfgr.m_mfgr == "MFGR#1") | (c.part.mfgr.m_mfgr == "MFGR#2")
+_MFGR_SQL = f"({_B} - 1) // 10 + 1 IN (1, 2)"
+
+SSB: dict[str, tuple[Callable[[Cube], View], str]] = {
+    "ssb_q11": _flight1(lambda c: (c.date1.year.y_year == 1997) & (c.lo_discount > 0) & (c.lo_discount < 4) & (c.lo_quantity < 25), f"year(o_orderdate) = 1997 AND {_PERCENT} BETWEEN 1 AND 3 AND l_quantity < 25"),
+    "ssb_q12": _flight1(lambda c: (c.date1.month.mo_yearmonthnum == 199801) & (c.lo_discount > 3) & (c.lo_discount < 7) & (c.lo_quantity > 25) & (c.lo_quantity < 36), f"year(o_orderdate) = 1998 AND month(o_orderdate) = 1 AND {_PERCENT} BETWEEN 4 AND 6 AND l_quantity > 25 AND l_quantity < 36"),
+    "ssb_q13": _flight1(lambda c: (c.date1.date.d_daynuminyear < 8) & (c.date1.year.y_year == 1998) & (c.lo_discount > 4) & (c.lo_discount < 8) & (c.lo_quantity > 25), f"dayofyear(o_orderdate) < 8 AND year(o_orderdate) = 1998 AND {_PERCENT} BETWEEN 5 AND 7 AND l_quantity > 25"),
+    "ssb_q21": _flight2(lambda c: (c.part.category.ca_category == "MFGR#12") & (c.supplier.region.r_region == "AMERICA"), f"{_CATEGORY} = 'MFGR#12' AND sr.r_name = 'AMERICA'"),
+    "ssb_q22": _flight2(lambda c: (c.part.brand1.b_brand1 > "MFGR#21-11") & (c.part.brand1.b_brand1 < "MFGR#21-15") & (c.supplier.region.r_region == "ASIA"), f"{_BRAND} > 'MFGR#21-11' AND {_BRAND} < 'MFGR#21-15' AND sr.r_name = 'ASIA'"),
+    "ssb_q23": _flight2(lambda c: (c.part.brand1.b_brand1 == "MFGR#22-18") & (c.supplier.region.r_region == "EUROPE"), f"{_BRAND} = 'MFGR#22-18' AND sr.r_name = 'EUROPE'"),
+    "ssb_q31": _flight3("nation", lambda c: (c.customer.region.r_region == "ASIA") & (c.supplier.region.r_region == "ASIA") & (c.date1.year.y_year >= 1996) & (c.date1.year.y_year <= 2000), "cr.r_name = 'ASIA' AND sr.r_name = 'ASIA' AND year(o_orderdate) BETWEEN 1996 AND 2000"),
+    "ssb_q32": _flight3("city", lambda c: (c.customer.nation.n_nation == "NATION_3") & (c.supplier.nation.n_nation == "NATION_3") & (c.date1.year.y_year >= 1996) & (c.date1.year.y_year <= 2000), "cn.n_name = 'NATION_3' AND sn.n_name = 'NATION_3' AND year(o_orderdate) BETWEEN 1996 AND 2000"),
+    "ssb_q33": _flight3("city", lambda c: ((c.customer.city.ci_city == "NATION_1 1") | (c.customer.city.ci_city == "NATION_5 2")) & ((c.supplier.city.ci_city == "NATION_1 0") | (c.supplier.city.ci_city == "NATION_5 1") | (c.supplier.city.ci_city == "NATION_1 3")), f"{_C_CITY} IN ('NATION_1 1', 'NATION_5 2') AND {_S_CITY} IN ('NATION_1 0', 'NATION_5 1', 'NATION_1 3')"),
+    "ssb_q34": _flight3("nation", lambda c: ((c.customer.nation.n_nation == "NATION_1") | (c.customer.nation.n_nation == "NATION_5")) & (c.date1.month.mo_yearmonth == "Dec1997"), "cn.n_name IN ('NATION_1', 'NATION_5') AND year(o_orderdate) = 1997 AND month(o_orderdate) = 12"),
+    "ssb_q41": _flight4(lambda c, v: v.rows(c.customer.nation.members()), {"customer_nation": "cn.n_name"}, lambda c: (c.customer.region.r_region == "AMERICA") & (c.supplier.region.r_region == "AMERICA") & _MFGR(c), f"{BOTH} AND {_MFGR_SQL}"),
+    "ssb_q42": _flight4(lambda c, v: v.rows(c.supplier.nation.members()).pages(c.part.category.members()), {"supplier_nation": "sn.n_name", "part_category": _CATEGORY}, lambda c: (c.customer.region.r_region == "AMERICA") & (c.supplier.region.r_region == "AMERICA") & ((c.date1.year.y_year == 1997) | (c.date1.year.y_year == 1998)) & _MFGR(c), f"{BOTH} AND year(o_orderdate) IN (1997, 1998) AND {_MFGR_SQL}"),
+    "ssb_q43": _flight4(lambda c, v: v.rows(c.supplier.city.members()).pages(c.part.brand1.members()), {"supplier_city": _S_CITY, "part_brand1": _BRAND}, lambda c: (c.supplier.nation.n_nation == "NATION_1") & ((c.date1.year.y_year == 1997) | (c.date1.year.y_year == 1998)) & (c.part.category.ca_category == "MFGR#21"), f"sn.n_name = 'NATION_1' AND year(o_orderdate) IN (1997, 1998) AND {_CATEGORY} = 'MFGR#21'"),
 }
 
 #: name: (DataFrame from session and folder, SQL)
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "inferred_model": (_facts, FACTS_SQL),
     "table_cardinality": (_counts, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"))),
+    "generated_product": (_generated, GENERATED_SQL),
+    **{n: ((lambda spark, sf_dir, f=f: f(_ssb(spark, sf_dir)).to_df()), sql) for n, (f, sql) in SSB.items()},
     "events_by_kind_and_month": (_events, "SELECT event_type AS kind_kind, monthname(ts) AS time_month, CAST(year(ts) * 100 + month(ts) AS INT) AS time_month_key, round(sum(value), 4) AS value, count(value) AS n FROM events GROUP BY 1, 2, 3"),
 }
 
 
-_CUBES: dict[tuple[str, str], Cube] = {}
+_CUBES: dict[tuple[str, str, str], Cube] = {}
 
 
 def _sales(spark: SparkSession, sf_dir: str) -> Cube:
     """One cube for each application and folder, prepared once, as in a user's session."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+    at = (spark.sparkContext.applicationId, sf_dir, "sales")
     if at not in _CUBES:
         _CUBES[at] = sales_cube(spark, sf_dir, prepared=scratch_path(spark, "sales"))
     return _CUBES[at]
 
 
+def _ssb(spark: SparkSession, sf_dir: str) -> Cube:
+    """The benchmark's cube on the same data: its star is written as the generator's delimited files,
+    read with the declared schemas, turned into a snowflake, and its fact prepared."""
+    at = (spark.sparkContext.applicationId, sf_dir, "ssb")
+    if at not in _CUBES:
+        path = scratch_path(spark, "ssb")
+        write_star(star_of(parquet(spark, sf_dir)), f"{path}/star")
+        level_tables = snowflake(read_star(spark, f"{path}/star"))
+        write(level_tables, f"{path}/snowflake")
+        files = parquet(spark, f"{path}/snowflake")
+        _CUBES[at] = prepare(ssb_cube(spark, {t: files.table(t) for t in files.names()}), f"{path}/fact", sort_by="lo_orderdate")
+    return _CUBES[at]
+
+
 def _of_view(make: Callable[[Cube], View]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rounded(make(_sales(spark, sf_dir)).to_df())
 

@@ -84,7 +84,7 @@ def test_generated_snowflake(spark, tmp_path):
     assert c.dimensions() == ["dimension0_level1", "dimension1_level2"] and c.measures() == ["measure0", "measure1"]
     out = c.view().columns(c.dimension1_level2.dimension1_level1["level1"].members()).measures("measure0").output()
     assert out.shape == (1, 4) and out.to_numpy().sum() == 72 * 73 / 2  # labels repeat under each parent
-    generator.drop_all(str(tmp_path / "g"))
+    generator.drop_all(spark, str(tmp_path / "g"))
     assert not (tmp_path / "g").exists()
 
 
