@@ -7,8 +7,10 @@ from typing import TYPE_CHECKING, Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.planner import axis_name, column_name, compile_view, needed, resolve, role_frame
+from ..sources.prepared import scratch_path
 
 if TYPE_CHECKING:
     from .members import MemberSet
@@ -23,8 +25,9 @@ class AmbiguousLabelError(ValueError):
 MOST_COLUMNS = 10_000
 
 
-def _qualified(view: View, s: MemberSet) -> DataFrame:
-    """``key`` and ``path``: labels of the member and its ancestors from the top, joined by "/"."""
+def _paths(view: View, s: MemberSet, keys: list[Any]) -> dict[Any, str]:
+    """For these keys, which the driver holds, the labels of the member and its ancestors from the
+    top, joined by "/"; other members of the level stay where they are."""
     cube, a = view.cube, s.attribute
     d = cube.model.dimension(a.dimension)
     i = d.index(a.level)
@@ -38,7 +41,9 @@ def _qualified(view: View, s: MemberSet) -> DataFrame:
     else:
         rows, _ = role_frame(cube, d, by[d.name], full=False, start=i)
     parts = [resolve(*r).cast("string") for r in (*reversed(refs[2:]), refs[0])]
-    return rows.select(resolve(*refs[1]).alias("key"), F.concat_ws("/", *parts).alias("path")).distinct()
+    paths = rows.select(resolve(*refs[1]).alias("key"), F.concat_ws("/", *parts).alias("path"))
+    wanted = cube.source.spark.createDataFrame([(k,) for k in keys], T.StructType([T.StructField("wanted", paths.schema["key"].dataType)]))
+    return {r.key: r.path for r in paths.join(F.broadcast(wanted), F.col("key").eqNullSafe(F.col("wanted")), "left_semi").distinct().collect()}
 
 
 def _order(s: MemberSet, labels: list[tuple[Any, Any]]) -> list[tuple[Any, Any]]:
@@ -63,8 +68,7 @@ def layout(view: View, cells: pd.DataFrame) -> tuple[list[str], dict[str, dict[A
         pairs = list(dict.fromkeys(zip(cells[f"{n}_key"], cells[n], strict=True)))
         labels = dict(pairs)
         if len(set(labels.values())) < len(labels):
-            paths = {r.key: r.path for r in _qualified(view, s).collect()}
-            labels = {k: paths[k] for k in labels}
+            labels = _paths(view, s, list(labels))
             if len(set(labels.values())) < len(labels):
                 raise AmbiguousLabelError(f"members of {s.attribute} have equal labels and ancestors")
         titles[n] = labels
@@ -92,7 +96,8 @@ def to_pandas(view: View) -> pd.DataFrame:
         measures = ["exists"]
     out = frame[measures].unstack(list(range(len(down), len(down) + len(across))))
     out.columns = out.columns.reorder_levels([*range(1, len(across) + 1), 0])
-    order = sorted(out.columns, key=lambda c: (*[[titles[n][k] for k in orders[n]].index(v) for n, v in zip(across, c, strict=False)], measures.index(c[-1])))
+    place = {n: {titles[n][k]: i for i, k in enumerate(orders[n])} for n in across}
+    order = sorted(out.columns, key=lambda c: (*[place[n][v] for n, v in zip(across, c, strict=False)], measures.index(c[-1])))
     out = out[order].sort_index()
     out.columns.names = [*across, None]
     if down == ["_"]:
@@ -102,12 +107,16 @@ def to_pandas(view: View) -> pd.DataFrame:
 
 def crosstab(view: View) -> DataFrame:
     """The cross-tab as a Spark DataFrame: odd axes are columns of their own, each member of the
-    even axes gives a column ``<member>[|<member>]_<measure>``."""
+    even axes gives a column ``<member>[|<member>]_<measure>``. The view runs once: its cells are
+    written down, and their heads and places read from there."""
     measures = list(view.used_measures())
     axes = view.ordered_axes()
     cells = compile_view(view, keys=True)
     if not axes:
         return cells
+    spark, path = view.cube.source.spark, scratch_path(view.cube.source.spark, "cells")
+    cells.write.parquet(path)
+    cells = spark.read.schema(cells.schema).parquet(path)
     names = [axis_name(s, view.cube) for s in axes]
     across, down = names[::2], names[1::2]
     heads = cells.select(*[x for n in across for x in (n, f"{n}_key")]).distinct().limit(MOST_COLUMNS + 1).toPandas()
@@ -118,9 +127,9 @@ def crosstab(view: View) -> DataFrame:
         pairs = list(dict.fromkeys(zip(heads[f"{n}_key"], heads[n], strict=True)))
         titles[n], orders[n] = dict(pairs), [k for k, _ in _order(s, pairs)]
         if len(set(titles[n].values())) < len(pairs):
-            paths = {r.key: r.path for r in _qualified(view, s).collect()}
-            titles[n] = {k: paths[k] for k in titles[n]}
-    combos = sorted(heads[[f"{n}_key" for n in across]].itertuples(index=False, name=None), key=lambda c: [orders[n].index(k) for n, k in zip(across, c, strict=True)])
+            titles[n] = _paths(view, s, list(titles[n]))
+    place = {n: {k: i for i, k in enumerate(orders[n])} for n in across}
+    combos = sorted(heads[[f"{n}_key" for n in across]].itertuples(index=False, name=None), key=lambda c: [place[n][k] for n, k in zip(across, c, strict=True)])
     sums = [F.first(F.when(_same(across, c), F.col(m)), ignorenulls=True).alias("|".join(str(titles[n][k]) for n, k in zip(across, c, strict=True)) + f"_{m}") for c in combos for m in measures]
     by = [x for n in down for x in (n, f"{n}_key")]
     out = cells.groupBy(*by).agg(*sums) if by else cells.agg(*sums)

@@ -231,9 +231,12 @@ def compile_view(view: View, *, keys: bool = False, grouping: str | None = None)
         out = getattr(flat, grouping)(*members).agg(F.grouping_id().alias("level_of"), *aggregates)
         out = out.select(*[F.col(f"{n}__member.{n}").alias(n) for n in names], *[F.col(f"{n}__member.{n}_key").alias(f"{n}_key") for n in names if keys], "level_of", *measures)
     elif axes:
-        by = rows.groupBy(*grouped)
-        out = by.agg(*aggregates) if aggregates else rows.select(*grouped).distinct()
-        out = out.select(*[x for n in names for x in ([n, f"{n}_key"] if keys else [n])], *measures)
+        # a level whose label is its key is grouped by one column
+        one = {n for n, s in zip(names, axes, strict=True) if next(iter(s.attribute.refs())) == key_ref(s, cube)}
+        grouped = [x for n, label, key in labels for x in ((label.alias(n),) if n in one else (label.alias(n), key.alias(f"{n}_key")))]
+        out = rows.groupBy(*grouped).agg(*aggregates) if aggregates else rows.select(*grouped).distinct()
+        both = lambda n: [F.col(n), F.col(n).alias(f"{n}_key") if n in one else F.col(f"{n}_key")]
+        out = out.select(*[x for n in names for x in (both(n) if keys else [F.col(n)])], *measures)
     else:
         out = rows.agg(*aggregates)
     if view.having_ is not None:
