@@ -181,9 +181,9 @@ def by_groups(df: DataFrame, key: tuple[str, ...], fn: Callable[[Iterator[pa.Tab
 
 
 def fingerprints(docs: DataFrame, *, carry: list[str], key: str, text: str) -> DataFrame:
-    """``carry`` and a struct ``_f``: uid long, id, digest binary (of the text), n (shingles) and
-    sig (null where the text has no words). Written down, so uids stay."""
-    inner = T.StructType([field("uid", "bigint"), docs.schema[key].__class__("id", docs.schema[key].dataType, True), field("digest", "binary"), field("n", "bigint"), field("sig", "binary")])
+    """``carry`` and a struct ``_f``: uid long, id, digest binary (of the text), n (shingles), sig
+    (null where the text has no words) and text, unless that is carried. Written down, so uids stay."""
+    inner = T.StructType([field("uid", "bigint"), docs.schema[key].__class__("id", docs.schema[key].dataType, True), field("digest", "binary"), field("n", "bigint"), field("sig", "binary"), *([] if text in carry else [field("text", "string")])])
     name, own = own_name(docs, "_f"), [own_name(docs, x) for x in ("_uid", "_id", "_digest", "_text")]
     schema = T.StructType([*[docs.schema[c] for c in carry], field(name, inner)])
 
@@ -192,7 +192,7 @@ def fingerprints(docs: DataFrame, *, carry: list[str], key: str, text: str) -> D
             h, n = shingles(texts_of(b, own[3]))
             sig = iter(map(bytes, signatures(h, n)))
             sigs = pa.array([next(sig) if x else None for x in n.tolist()], pa.binary())
-            cols = [column(b, own[0]), column(b, own[1]), column(b, own[2]), pa.array(n), sigs]
+            cols = [column(b, own[0]), column(b, own[1]), column(b, own[2]), pa.array(n), sigs, *([] if text in carry else [column(b, own[3])])]
             yield [*[b.column(i) for i in range(len(carry))], pa.StructArray.from_arrays(cols, [f.name for f in inner])]
 
     picked = docs.select(*carry, F.monotonically_increasing_id().alias(own[0]), F.col(key).alias(own[1]), F.unhex(F.md5(F.col(text))).alias(own[2]), F.col(text).alias(own[3]))
@@ -312,23 +312,21 @@ def roots_of(n: int, links: list[tuple[int, np.ndarray]]) -> np.ndarray:
             return label
 
 
-def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, *, text: str) -> DataFrame:
+def verified(texts: DataFrame, classes: DataFrame, candidates: DataFrame) -> DataFrame:
     """``cid, root, links`` for each member and pair of blocks: its local root among verified links
-    and how many documents it links to in other classes."""
-    members = candidates.join(classes.drop("sig"), F.col("node") == F.col("cid")).select("cid", "digest", "copies", "n", F.col("root").alias("comp"))
+    and how many documents it links to in other classes. ``texts``: ``uid`` and ``text`` of all rows,
+    of which only those of the classes' representatives are used."""
+    members = candidates.join(classes.drop("sig"), F.col("node") == F.col("cid")).select("cid", "copies", "n", F.col("root").alias("comp"))
     members = materialise(members, "members")
     size = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("all_n")).withColumnRenamed("comp", "of")
-    dealt = members.join(size, F.col("comp") == F.col("of")).select("comp", "cid", "digest", "copies", F.greatest(F.ceil(F.col("m") / DOCS_BLOCK), F.ceil(F.col("all_n") / SHINGLES_BLOCK)).alias("blocks"))
-    # texts whose digest falls in no member's bucket are left out before the shuffle; the table of
+    dealt = members.join(size, F.col("comp") == F.col("of")).select("comp", "cid", "copies", F.greatest(F.ceil(F.col("m") / DOCS_BLOCK), F.ceil(F.col("all_n") / SHINGLES_BLOCK)).alias("blocks"))
+    # texts whose number falls in no member's bucket are left out before the shuffle; the table of
     # buckets has ``TEXT_BUCKETS`` rows at most, however many members there are
-    bucket = lambda digest: F.pmod(F.xxhash64(digest), F.lit(TEXT_BUCKETS)).cast("int")
-    used = members.select(bucket(F.col("digest")).alias("_b")).distinct()
-    bodies = docs.select(F.col(text).alias("_text"), F.unhex(F.md5(F.col(text))).alias("_digest"))
-    bodies = bodies.join(F.broadcast(used), bucket(F.col("_digest")) == F.col("_b"), "left_semi")
-    # equal texts become one in each task before they are dealt out, so copies never come together
-    bodies = bodies.groupBy("_digest").agg(F.first("_text").alias("text"))
+    bucket = lambda uid: F.pmod(F.xxhash64(uid), F.lit(TEXT_BUCKETS)).cast("int")
+    used = members.select(bucket("cid").alias("_b")).distinct()
+    bodies = texts.join(F.broadcast(used), bucket("uid") == F.col("_b"), "left_semi")
     # a sorted join at every size: the members grow with the corpus, so they are never broadcast
-    joined = bodies.join(dealt.hint("merge"), F.col("_digest") == F.col("digest")).select("comp", "cid", "copies", "blocks", "text")
+    joined = bodies.join(dealt.hint("merge"), F.col("uid") == F.col("cid")).select("comp", "cid", "copies", "blocks", "text")
     spread = block_pairs(joined, "cid", F.col("blocks")).select("comp", "pair", "own", "across", "cid", "copies", "text")
 
     def verify(tables):
@@ -362,7 +360,9 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: lis
     f = prints.columns[-1]
     classes = classes_of(prints, f)
     candidates = components(candidate_edges(classes))
-    found = materialise(verified(docs, classes, candidates, text=text), "verified")
+    p = F.col(f)
+    texts = prints.select(p["uid"].alias("uid"), (F.col(text) if text in carry else p["text"]).alias("text"))
+    found = materialise(verified(texts, classes, candidates), "verified")
     final = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy(F.col("cid").alias("of")).agg(F.sum("links").alias("links"))
     slim = classes.select("cid", "id", "digest", "copies")
@@ -370,7 +370,6 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: lis
     grouped = materialise(grouped.select("cid", "id", "digest", "copies", "root", F.coalesce("links", F.lit(0)).alias("links")), "grouped")
     least = grouped.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "cid")).alias("least"))
     named = grouped.join(least, F.col("root") == F.col("r")).select("digest", F.col("least.id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("id").alias("copy_of"), F.col("least.cid").alias("keep"))
-    p = F.col(f)
     out = prints.join(named, p["sig"].isNotNull() & (p["digest"] == F.col("digest")), "left")
     alone = F.col("keep").isNull()
     return out.select(
