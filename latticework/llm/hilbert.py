@@ -5,6 +5,9 @@ row gives its index on the curve, rows are sorted by it and the sorted run is cu
 equal row counts (at most one apart). Neighbours on the curve are neighbours in every dimension, so
 each shard, and each row group of its file, spans narrow ranges in all of them.
 
+Quantiles of strings are of whole strings, however long a prefix they share. Texts that are only
+carried are written as they are, whole.
+
 Ties on the curve are broken by the key, so a value that a third of the rows share spreads over as
 many range partitions as its rows need. Nulls take the lowest cell of their dimension. Rows that
 are equal in everything keep an arbitrary but single order, as the order is written down once.
@@ -62,8 +65,8 @@ def curve_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(steps, begin, walk)["h"]
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column: strings and binaries by their first seven bytes."""
+def as_ordered(df: DataFrame, name: str) -> Column:
+    """The column in a type whose order counts: numbers and times as doubles, else the whole string."""
     kind, c = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.NumericType):
         return c.cast("double")
@@ -71,20 +74,39 @@ def as_number(df: DataFrame, name: str) -> Column:
         return c.cast("int").cast("double")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.unix_timestamp(c.cast("timestamp")).cast("double")
-    head = F.substring(F.encode(c.cast("string"), "utf-8"), 1, 7)
-    return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("double")
+    return c.cast("string")
 
 
-def boundaries(df: DataFrame, numbers: dict[str, Column], bits: int) -> dict[str, list[float]]:
-    """Quantile boundaries by dimension, from all rows: fewer than 2**bits numbers each."""
+def boundaries(df: DataFrame, dims: dict[str, Column], bits: int) -> dict[str, list]:
+    """Quantile boundaries by dimension, from all rows: fewer than 2**bits values each."""
+    slim = df.select(*[c.alias(f"d{i}") for i, c in enumerate(dims.values())])
+    texts = [f.name for f in slim.schema if isinstance(f.dataType, T.StringType)]
+    numbers = [f.name for f in slim.schema if f.name not in texts]
     shares = F.array(*[F.lit(k / (1 << bits)) for k in range(1, 1 << bits)])
-    row = df.agg(*[F.percentile_approx(x, shares, F.lit(10_000)).alias(f"q{i}") for i, x in enumerate(numbers.values())]).first()
-    return {name: sorted(set(row[i] or [])) for i, name in enumerate(numbers)}
+    found = dict.fromkeys(numbers)
+    if numbers:
+        found = slim.agg(*[F.percentile_approx(n, shares, F.lit(10_000)).alias(n) for n in numbers]).first().asDict()
+    found |= {n: text_boundaries(slim, n, 1 << bits) for n in texts}
+    return {name: sorted(set(found[f"d{i}"] or [])) for i, name in enumerate(dims)}
+
+
+def text_boundaries(df: DataFrame, name: str, parts: int) -> list[str]:
+    """The last string of each of ``parts`` equal runs of the sorted rows but the last, from whole
+    strings: distinct values with their counts are ranged and summed up, range by range."""
+    counts = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")).repartitionByRange(name).sortWithinPartitions(name)
+    counts = materialise(counts.select(name, "n", F.spark_partition_id().alias("part")), "values")
+    sums = counts.groupBy("part").agg(F.sum("n").alias("of"))
+    base = sums.select(F.col("part").alias("at"), (F.sum("of").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))).alias("before"), F.sum("of").over(W.partitionBy()).alias("total"))
+    within = F.sum("n").over(W.partitionBy("part").orderBy(name).rowsBetween(W.unboundedPreceding, W.currentRow))
+    # one row a range, as many as partitions
+    placed = counts.withColumn("upto", within).join(F.broadcast(base), F.col("part") == F.col("at")).withColumn("upto", F.col("upto") + F.coalesce("before", F.lit(0)))
+    runs = placed.groupBy(F.floor((F.col("upto") - 1) * parts / F.col("total")).alias("run")).agg(F.max(name).alias("last"))
+    return [r["last"] for r in runs.orderBy("run").collect()][:-1]  # ``parts`` rows at most
 
 
-def cell(number: Column, cuts: list[float]) -> Column:
-    """How many boundaries lie below the number; null counts as lowest."""
-    return F.coalesce(reduce(Column.__add__, [(number > F.lit(x)).cast("int") for x in cuts], F.lit(0)), F.lit(0))
+def cell(value: Column, cuts: list) -> Column:
+    """How many boundaries lie below the value; null counts as lowest."""
+    return F.coalesce(reduce(Column.__add__, [(value > F.lit(x)).cast("int") for x in cuts], F.lit(0)), F.lit(0))
 
 
 def shard(df: DataFrame, dims: list[str], *, shards: int = 8, bits: int = 5, key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
@@ -92,12 +114,13 @@ def shard(df: DataFrame, dims: list[str], *, shards: int = 8, bits: int = 5, key
     long, gapless from 0 in each shard. Shards differ by one row at most; fewer rows than shards
     leave shards empty. Columns of ``df`` named like these three are replaced."""
     carry = [c for c in (carry or df.columns) if c.lower() not in ("curve", "shard", "slot")]
-    numbers = {d: as_number(df, d) for d in dims}
-    cuts = boundaries(df, numbers, bits)
-    index = curve_index([cell(numbers[d], cuts[d]) for d in dims], bits)
+    values = {d: as_ordered(df, d) for d in dims}
+    cuts = boundaries(df, values, bits)
+    index = curve_index([cell(values[d], cuts[d]) for d in dims], bits)
     part, at = own_name(df, "_part"), own_name(df, "_at")
     order = [F.col("curve"), *[F.col(c) for c in dict.fromkeys([key, *carry]) if isinstance(df.schema[c].dataType, T.AtomicType)][:4]]
     rows = df.select(*[F.col(c) for c in dict.fromkeys([*carry, key])], index.alias("curve"))
+    rows = materialise(rows, "curve")  # ranging reads its rows twice; the curve is computed once
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit(_WITHIN)).alias(at))
     rows = materialise(rows, "hilbert")  # ranks hold only if the order is made once

@@ -1,4 +1,5 @@
 import itertools
+import math
 import zlib
 from collections import Counter
 
@@ -49,3 +50,43 @@ def test_few_rows_ties_nulls_and_none(spark):
     got = hilbert.digests(df, ["d"]).collect()
     assert sorted(r.shard for r in got) == [0, 1, 2] and {r.slot for r in got} == {0}
     assert hilbert.digests(df.limit(0), ["d"]).collect() == []
+
+
+def test_whole_strings_count(spark):
+    prefix = "https://www.example.com/a/very/long/common/path/" * 3
+    rows = [(i, f"{prefix}{i * 7919 % 1000:04d}" if i % 10 else None, "x" * (200_000 if i == 5 else 1)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, url string, text string").repartition(5)
+    cuts = hilbert.boundaries(df, {"url": hilbert.as_ordered(df, "url")}, 3)["url"]
+    given = sorted(u for _, u, _ in rows if u)
+    assert cuts == [given[-(-(k + 1) * len(given) // 8) - 1] for k in range(7)]
+    hot = spark.createDataFrame([("a",)] * 700 + [("b",)] * 200 + [("c",)] * 100, "s string")
+    assert hilbert.boundaries(hot, {"s": F.col("s")}, 2)["s"] in (["a", "b"], ["a", "b", "c"], ["a"])
+
+
+def test_against_brute_force(spark):
+    rows = [(i * 31 % 500, f"t{i}", f"host{i % 7}/{i % 13}", float(i * i % 97) if i % 9 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string, v double").repartition(6)
+    out = {r.doc_id: r for r in hilbert.shard(df, ["url", "v"], shards=7, bits=3).collect()}
+
+    def cuts(values):
+        n = len(values)
+        return sorted({values[max(0, math.ceil(k / 8 * n) - 1)] for k in range(1, 8)})
+
+    numbers, texts = cuts(sorted(v for *_, v in rows if v is not None)), sorted(u for _, _, u, _ in rows)
+    ends, seen = {}, 0
+    for u, n in sorted(Counter(texts).items()):
+        seen += n
+        ends[(seen - 1) * 8 // len(texts)] = u
+    marks = [ends[k] for k in sorted(ends)][:-1]
+    cells = {k: (sum(u > x for x in marks), 0 if v is None else sum(v > x for x in numbers)) for k, _, u, v in rows}
+    by_cell = {}
+    for k, c in cells.items():
+        by_cell.setdefault(c, set()).add(out[k].curve)
+    assert all(len(x) == 1 for x in by_cell.values()) and len({min(x) for x in by_cell.values()}) == len(by_cell)
+    order = sorted(cells, key=lambda k: (out[k].curve, k))
+    place, want = 0, {}
+    for s in range(7):
+        size = 500 // 7 + (s < 500 % 7)
+        want |= {k: (s, i) for i, k in enumerate(order[place : place + size])}
+        place += size
+    assert {k: (r.shard, r.slot) for k, r in out.items()} == want
