@@ -23,10 +23,13 @@ _SHIPPED: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests on one machine) a temporary folder is made and set.
+    Where the session names none, a temporary folder is made and set, on one machine only (tests);
+    a cluster must name one.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not on_one_machine(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="latticework-"))
         named = sc.getCheckpointDir()
@@ -35,6 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def filesystem(spark: SparkSession, path: str):
     """(Hadoop FileSystem, Hadoop Path) of ``path``; works for every store that Spark can reach."""
     jvm = spark._jvm
@@ -80,10 +87,11 @@ def forget(*written: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that were not started with it on their path."""
+    """Make this package importable on executors. Those on the driver's machine that got its folder
+    or path have it; all others are sent it, whatever the driver's own path is."""
     there = {os.path.abspath(x) for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x}
     app = spark.sparkContext.applicationId
-    if app in _SHIPPED or str(ROOT) in there or os.path.abspath(os.getcwd()) == str(ROOT):
+    if app in _SHIPPED or on_one_machine(spark) and (str(ROOT) in there or os.path.abspath(os.getcwd()) == str(ROOT)):
         return
     import zipfile
 
