@@ -3,6 +3,7 @@ of the package to the executors, and Arrow plumbing for vectorised per-batch cod
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -123,15 +124,36 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     """``mapInArrow`` in which ``fn`` gets record batches of about ``limit`` bytes of column
     ``text`` (one row at least) and yields lists of Arrow arrays in the order of ``schema``."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(schema)
-        for out in fn(cut(batches, text, limit)):
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) and x.type == f.type else (x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type)) for x, f in zip(out, target, strict=True)], schema=target)
+        try:
+            for out in fn(cut(batches, text, limit)):
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) and x.type == f.type else (x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type)) for x, f in zip(out, target, strict=True)], schema=target)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Rows here hold whole texts, so what goes to a Python worker at a time is bounded by bytes (one
+    row at least) and not by rows alone; a bound that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # as Spark has it
+        spark.conf.set(key, str(size))
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system at the end of a task; the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def cut(batches: Iterator[pa.RecordBatch], text: str | None, limit: int) -> Iterator[pa.RecordBatch]:
     """Batches in slices of about ``limit`` bytes of column ``text``; every row stays whole."""
     import numpy as np

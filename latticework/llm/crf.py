@@ -95,7 +95,7 @@ def emissions(weights: np.ndarray, rows: np.ndarray, of: np.ndarray, n: int) ->
 class Scores:
     """Emission scores of words, each computed once; emptied beyond ``entries`` words."""
 
-    def __init__(self, weights: np.ndarray, entries: int = 500_000) -> None:
+    def __init__(self, weights: np.ndarray, entries: int = 200_000) -> None:
         self.weights, self.entries = weights, entries
         self.number: dict[str, int] = {}
         self.table = np.zeros((1024, weights.shape[1]), np.float32)
@@ -326,7 +326,7 @@ def identify(docs: DataFrame, model: Model | None, *, carry: list[str] | None =
             got = m.predict(texts) if m else [(UNKNOWN, 0.0)] * len(texts)
             yield [*[b.column(i) for i in range(len(carry))], pa.array([{"lang": a, "score": s} for a, s in got], pa.struct([("lang", pa.string()), ("score", pa.float64())]))]
 
-    return map_batches(docs.select(*carry, F.col(text).alias(own)), run, schema, limit=2 << 20, text=own)
+    return map_batches(docs.select(*carry, F.col(text).alias(own)), run, schema, limit=1 << 20, text=own)
 
 
 def word_labels(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
