@@ -291,10 +291,10 @@ class Encoder:
     which bounds its memory and changes no result.
     """
 
-    SHORT_PIECE, BITS = 32, 22
+    SHORT_PIECE, BITS = 32, 21  # workers keep the cache, so it is small
     BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
-    def __init__(self, merger: Ranks | LibraryMerges, entries: int = 1_200_000) -> None:
+    def __init__(self, merger: Ranks | LibraryMerges, entries: int = 600_000) -> None:
         self.merger, self.entries = merger, min(entries, 1 << self.BITS - 1)
         self.powers = self.inverse = np.ones(1, np.uint64)
         self._empty()
@@ -469,7 +469,7 @@ def map_ids(docs: DataFrame, vocabulary: str, schema: T.StructType, fn: Callable
         for b in batches:
             yield fn(b, encoder.encode(texts_of(b, text)), decoder)
 
-    return map_batches(docs.select(*columns), run, schema, limit=2 << 20, text=text)
+    return map_batches(docs.select(*columns), run, schema, limit=1 << 20, text=text)
 
 
 def encode_documents(docs: DataFrame, *, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

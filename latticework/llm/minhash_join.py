@@ -50,7 +50,7 @@ _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:  # workers keep it, so it is small
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
